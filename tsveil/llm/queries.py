@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsveil.llm import langid, media, packing, sharding, token_counts
+from tsveil.llm import langid, lm, media, packing, sharding, token_counts
 from tsveil.llm.base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(documents(spark, sf_dir))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -32,6 +36,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op3_language, op6_packing, op7_sharding, op9_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op3_language, op5_lm_score, op6_packing, op7_sharding, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op6_packing": packing.packing_sql(), "op7_sharding": sharding.placement_sql()}
