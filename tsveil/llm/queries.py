@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsveil.llm import langid, lm, media, packing, sharding, token_counts
+from tsveil.llm import langid, lm, media, packing, sharding, token_counts, wrappers
 from tsveil.llm.base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +32,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op3_language, op5_lm_score, op6_packing, op7_sharding, op9_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op3_language, op5_lm_score, op6_packing, op7_sharding, op8_main_text, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op6_packing": packing.packing_sql(), "op7_sharding": sharding.placement_sql()}
