@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsveil.llm import langid, lm, media, packing, sharding, token_counts, wrappers
+from tsveil.llm import langid, lm, media, packing, repeats, sharding, token_counts, wrappers
 from tsveil.llm.base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op3_language, op5_lm_score, op6_packing, op7_sharding, op8_main_text, op9_token_counts)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op3_language, op5_lm_score, op6_packing, op7_sharding, op8_main_text, op9_token_counts, op10_repeats)}
 
 ORACLE_SQL: dict[str, str] = {"op6_packing": packing.packing_sql(), "op7_sharding": sharding.placement_sql()}
