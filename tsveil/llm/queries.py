@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsveil.llm import langid, lm, media, packing, repeats, sharding, token_counts, wrappers
+from tsveil.llm import jaccard, langid, lm, media, packing, repeats, sharding, token_counts, wrappers
 from tsveil.llm.base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(documents(spark, sf_dir))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(documents(spark, sf_dir))
 
@@ -44,6 +48,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op3_language, op5_lm_score, op6_packing, op7_sharding, op8_main_text, op9_token_counts, op10_repeats)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op2_jaccard, op3_language, op5_lm_score, op6_packing, op7_sharding, op8_main_text, op9_token_counts, op10_repeats)}
 
 ORACLE_SQL: dict[str, str] = {"op6_packing": packing.packing_sql(), "op7_sharding": sharding.placement_sql()}
