@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -107,9 +108,12 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more, and has the JVM free the shuffle files of plans that are gone."""
         for name in names:
             path = f"{self.path}/{name}"
             self._fs(path).delete(self._path(path), True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,15 +1,18 @@
 """Operator 10, substring dedup by seed and extend.
 
-Seeds are winnowed anchors: of every ANCHORS_IN_WINDOW consecutive runs of ANCHOR_WORDS words, that is of every window
-of `length` words, the run of least hash. The choice looks at nothing but the window, so equal windows have equal
-anchors at equal places. Documents are joined on anchors; an anchor that occurs once can't lie in a repeat. From each
-repeated anchor the match is extended both ways, word by word, over all windows that have it as their anchor, and each
-extension is compared as a 128-bit hash with all others: the earliest occurrence (least document, then least start) is
-kept, every other is a repeat. Repeats that overlap or touch merge into the maximal repeated spans of a document.
-
-Documents whose whole text occurs in an earlier document are settled by a hash of the text, without anchors. Only
-words of repeated anchors are shuffled; hot anchors and windows are counted before they are (map-side), and met again
-through a join on unique keys, which adaptive execution can split.
+Seeds are winnowed anchors: of every window of `length` words its run of ANCHOR_WORDS words of least hash. The choice
+looks at nothing but the window, so equal windows have equal anchors at equal places. Documents are joined on anchors; an
+anchor that occurs once can't lie in a repeat. From each repeated anchor the match is extended both ways as far as windows
+keep it as their anchor, which gives the anchor's context, a span of up to 2 * length - ANCHOR_WORDS words.
+
+Equal contexts are matched first, as wholes, by a 128-bit hash: all windows of a context but its earliest occurrence are
+repeats. Only where an anchor has several different contexts are the windows of their earliest occurrences compared one
+by one. Of equal windows the earliest (least document, then least start) is kept. Repeated windows that overlap or touch
+merge into the maximal repeated spans of a document.
+
+Documents whose whole text occurs in an earlier document are settled by a hash of the text, without anchors. Hot anchors,
+contexts and windows are reduced before they are shuffled (map-side), and met again through joins on unique keys, which
+adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -23,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsveil.llm.base import BROADCAST_ROWS, WordHash, Workspace, grams, map_batches, signed, small, utf8
+from tsveil.llm.base import BROADCAST_ROWS, WordHash, Workspace, grams, map_batches, mix, signed, small, utf8
 
 LENGTH = 20
 ANCHOR_WORDS = 8
-#: Positions up to which the anchors' or repeats' places are broadcast.
-BROADCAST_PLACES = 6_000_000
+#: Numbers in a table of lists up to which it is broadcast.
+BROADCAST_PLACES = 12_000_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-SECOND_SEED = 0x51ED270B0A1F39C5
+#: Multipliers of the two hashes of a span, odd.
+BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407))
 
 
 def anchor_of_windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -46,30 +50,53 @@ def anchor_of_windows(h: np.ndarray, width: int) -> np.ndarray:
     return np.where(h[b] < h[a], b, a)
 
 
-def covered(starts: np.ndarray, words: int, length: int) -> np.ndarray:
-    """Which of the words lie in a window that begins at one of the starts."""
+class SpanHash:
+    """Hashes of any spans of a document's words, from running sums of word hashes times powers of an odd number."""
+
+    def __init__(self):
+        self.powers = [np.ones(1, np.uint64)] * 2
+        self.inverses = [np.ones(1, np.uint64)] * 2
+
+    def of(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of words starts[i] to ends[i] - 1."""
+        n, out = len(h) + 1, []
+        for k, base in enumerate(BASES):
+            if len(self.powers[k]) < n:
+                self.powers[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, base)]))
+                self.inverses[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, np.uint64(pow(int(base), -1, 1 << 64)))]))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + base) * self.powers[k][: n - 1])])
+            out.append(mix((sums[ends] - sums[starts]) * self.inverses[k][starts] + (ends - starts).astype(np.uint64)))
+        return out[0], out[1]
+
+
+#: A run of windows as one number: first start * RUN + further windows.
+RUN = 64
+
+
+def covered(runs: np.ndarray, words: int, length: int) -> np.ndarray:
+    """Which of the words lie in a window of the runs."""
     edge = np.zeros(words + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + length, words), -1)
+    np.add.at(edge, runs // RUN, 1)
+    np.add.at(edge, np.minimum(runs // RUN + runs % RUN + length, words), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeat_starts(df: DataFrame, space: Workspace, id_col: str, text_col: str, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(df's id, text, key, copy; (__key, __id, starts) of documents with repeats).
+def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(df's id, text, key, copy; (__key, __id, runs) of documents with repeats).
 
-    key names a text with its id; copy: the whole text occurs in an earlier document. starts: where repeated windows
-    begin, for documents that are no copies.
+    key names a text with its id; copy: the whole text occurs in an earlier document. runs: the repeated windows of
+    documents that are no copies.
     """
-    spark = df.sparkSession
+    if not ANCHOR_WORDS < length < ANCHOR_WORDS + RUN:
+        raise ValueError(f"length must be from {ANCHOR_WORDS + 1} to {ANCHOR_WORDS + RUN - 1} words")
     id_kind = dict(df.dtypes)[id_col]
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     digest = F.md5(F.col("text").cast("binary"))
-    # the first of equal texts; nulls of the id come last
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
-    texts = space.save(own.where("text is not null").select("id", digest.alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select(F.col("digest").alias("__digest"), F.col("first.id").alias("__first")), "texts")
-    n_texts = texts.count()
-    keyed = own.withColumn("key", F.xxhash64("id", "text"))
-    marked = keyed.join(small(texts, n_texts), digest == F.col("__digest"), "left").select("id", "text", "key", (F.col("__digest").isNotNull() & ~F.col("id").eqNullSafe(F.col("__first"))).alias("copy"))
+    texts = own.where("text is not null").select("id", digest.alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    texts = space.save(texts.where("n > 1 and first is not null").select(F.col("digest").alias("__digest"), F.col("first").alias("__first")), "texts")
+    marked = own.withColumn("key", F.xxhash64("id", "text")).join(small(texts, texts.count()), digest == F.col("__digest"), "left")
+    marked = marked.select("id", "text", "key", (F.col("__digest").isNotNull() & ~F.col("id").eqNullSafe(F.col("__first"))).alias("copy"))
+    sources = marked.where("not copy and text is not null")
     width = length - ANCHOR_WORDS + 1
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +104,7 @@ def repeat_starts(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
         for b in batches:
             found, keys, places = [], [], []
             for key, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                words = text.split() if text else ()
+                words = text.split()
                 if len(words) >= length:
                     h = grams(hashes.of(words), ANCHOR_WORDS)
                     at = np.unique(anchor_of_windows(h, width))
@@ -87,58 +114,99 @@ def repeat_starts(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
             if found:
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["anchor", "key", "place"])
 
-    sources = marked.where("not copy and text is not null")
-    anchors = map_batches(sources.select("key", "text"), seed, "anchor long, key long, place int")
-    # as a hash is as good as random, counting its upper part would do; all bits keep it exact
+    anchors = space.save(map_batches(sources.select("key", "text"), seed, "anchor long, key long, place int"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("__anchor"))
     met = anchors.join(shared.hint("shuffle_hash"), F.col("anchor") == F.col("__anchor"), "left_semi")
     places = space.save(met.groupBy("key").agg(F.collect_set("place").alias("places")).withColumnRenamed("key", "__key"), "places")
-    rows, total = places.agg(F.count("*"), F.sum(F.size("places"))).first()
-    rows = rows if (total or 0) <= BROADCAST_PLACES else BROADCAST_ROWS + 1
+    space.drop("anchors")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes, hasher = WordHash(), SpanHash()
         for b in batches:
-            one, two, which, starts = [], [], [], []
-            lists = b.column(3)
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            out = []
+            ends, flat = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
             for i, text in enumerate(utf8(b.column(2))):
                 h = hashes.of(text.split())
-                anchor = anchor_of_windows(grams(h, ANCHOR_WORDS), width)
-                seeds = np.zeros(len(h), bool)
+                g = grams(h, ANCHOR_WORDS)
+                anchor = anchor_of_windows(g, width)
+                seeds = np.zeros(len(h) + 1, bool)
                 mine = flat[ends[i] : ends[i + 1]]
                 seeds[mine[mine < len(h)]] = True
-                at = np.flatnonzero(seeds[anchor])
-                if len(at):
-                    one.append(grams(h, length)[at])
-                    two.append(grams(h, length, SECOND_SEED)[at])
-                    which.append(np.full(len(at), i))
-                    starts.append(at.astype(np.int32))
-            if which:
-                take = pa.array(np.concatenate(which))
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(one)), signed(np.concatenate(two)), b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(starts))], names=["a", "b", "id", "key", "start"])
-
-    seeded = sources.join(small(places, rows), F.col("key") == F.col("__key")).select("id", "key", "text", "places")
-    windows = map_batches(seeded, extend, f"a long, b long, id {id_kind}, key long, start int")
-    occurrence = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"), F.col("start"))
-    earliest = windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(occurrence).alias("least")).where("n > 1").select(F.col("a").alias("__a"), F.col("b").alias("__b"), "least")
-    later = windows.join(earliest.hint("shuffle_hash"), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).where(~((F.col("key") == F.col("least.key")) & F.col("id").eqNullSafe(F.col("least.id")) & (F.col("start") == F.col("least.start"))))
-    starts = space.save(later.groupBy("key", "id").agg(F.collect_set("start").alias("starts")).select(F.col("key").alias("__key"), F.col("id").alias("__id"), "starts"), "starts")
+                # windows of one anchor follow each other
+                first = np.flatnonzero(np.diff(anchor, prepend=-1))
+                last = np.append(first[1:], len(anchor)) - 1
+                keep = seeds[anchor[first]] if len(first) else np.zeros(0, bool)
+                first, last = first[keep], last[keep]
+                if len(first):
+                    one, two = hasher.of(h, first, last + length)
+                    again = np.ones(len(first), bool)
+                    again[np.unique(one, return_index=True)[1]] = False
+                    out.append((g[anchor[first]], one, two, np.full(len(first), i), first * RUN + last - first, again))
+            if out:
+                g, one, two, which, runs, again = (np.concatenate(x) for x in zip(*out, strict=True))
+                take = pa.array(which)
+                yield pa.RecordBatch.from_arrays([signed(g), signed(one), signed(two), b.column(0).take(take), b.column(1).take(take), pa.array(runs), pa.array(again)], names=["anchor", "a", "b", "id", "key", "run", "again"])
+
+    seeded = sources.join(few(places, "places"), F.col("key") == F.col("__key")).select("id", "key", "text", "places")
+    contexts = space.save(map_batches(seeded, extend, f"anchor long, a long, b long, id {id_kind}, key long, run long, again boolean"), "contexts")
     space.drop("places")
-    return marked, starts
+    own_again = contexts.where("again").select("key", "id", "run")
+    contexts = contexts.where("not again")
+    earliest = contexts.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("anchor").alias("anchor"))
+    several = contexts.select("anchor", "a").groupBy("anchor").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select(F.col("anchor").alias("__anchor"), F.lit(True).alias("several"))
+    ranked = earliest.join(several.hint("shuffle_hash"), F.col("anchor") == F.col("__anchor"), "left").where("n > 1 or several")
+    ranked = ranked.select(F.col("a").alias("__a"), F.col("b").alias("__b"), "least", F.coalesce("several", F.lit(False)).alias("several"))
+    later = F.col("least").isNotNull() & ~F.col("id").eqNullSafe(F.col("least"))
+    placed = contexts.join(ranked.hint("shuffle_hash"), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("key", "id", "run", later.alias("later"), "several").where("later or several")
+    placed = space.save(placed, "placed")
+    singles = space.save(placed.where("not later").groupBy("key").agg(F.collect_set("run").alias("runs")).withColumnRenamed("key", "__key"), "singles")
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, hasher = WordHash(), SpanHash()
+        for b in batches:
+            out = []
+            ends, flat = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
+            for i, text in enumerate(utf8(b.column(2))):
+                h = hashes.of(text.split())
+                runs = np.sort(flat[ends[i] : ends[i + 1]])
+                first, more = runs // RUN, runs % RUN
+                at = np.repeat(first, more + 1) + np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                at = at[at <= len(h) - length]
+                if len(at):
+                    one, two = hasher.of(h, at, at + length)
+                    again = np.ones(len(at), bool)
+                    again[np.unique(one, return_index=True)[1]] = False
+                    out.append((one, two, np.full(len(at), i), at * RUN, again))
+            if out:
+                one, two, which, runs, again = (np.concatenate(x) for x in zip(*out, strict=True))
+                take = pa.array(which)
+                yield pa.RecordBatch.from_arrays([signed(one), signed(two), b.column(0).take(take), b.column(1).take(take), pa.array(runs), pa.array(again)], names=["a", "b", "id", "key", "run", "again"])
+
+    seeded = sources.join(few(singles, "runs"), F.col("key") == F.col("__key")).select("id", "key", "text", "runs")
+    windows = space.save(map_batches(seeded, windows_of, f"a long, b long, id {id_kind}, key long, run long, again boolean"), "windows")
+    least = windows.where("not again").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").select(F.col("a").alias("__a"), F.col("b").alias("__b"), "least")
+    repeated = windows.where("not again").join(least.hint("shuffle_hash"), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).where(later).select("key", "id", "run")
+    every = own_again.unionByName(placed.where("later").select("key", "id", "run")).unionByName(windows.where("again").select("key", "id", "run")).unionByName(repeated)
+    runs = space.save(every.groupBy("key", "id").agg(F.collect_set("run").alias("runs")).select(F.col("key").alias("__key"), F.col("id").alias("__id"), "runs"), "runs")
+    space.drop("contexts", "placed", "singles", "windows")
+    return marked, runs
+
+
+def few(table: DataFrame, lists: str) -> DataFrame:
+    """A saved table of lists with a broadcast hint if it is small, by its rows and by the numbers in its lists."""
+    rows, total = table.agg(F.count("*"), F.sum(F.size(lists))).first()
+    return small(table, rows if (total or 0) <= BROADCAST_PLACES else BROADCAST_ROWS + 1)
 
 
-def with_starts(marked: DataFrame, starts: DataFrame) -> DataFrame:
-    rows, total = starts.agg(F.count("*"), F.sum(F.size("starts"))).first()
-    rows = rows if (total or 0) <= BROADCAST_PLACES else BROADCAST_ROWS + 1
-    return marked.join(small(starts, rows), (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id")), "left")
+def with_runs(marked: DataFrame, runs: DataFrame) -> DataFrame:
+    return marked.join(few(runs, "runs"), (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id")), "left")
 
 
-def gone(words: int, copy: bool, starts: list[int] | None, length: int) -> np.ndarray | None:
+def gone(words: int, copy: bool, runs: list[int] | None, length: int) -> np.ndarray | None:
     """Which words go; None: none does."""
-    if words < length or not (copy or starts):
+    if words < length or not (copy or runs):
         return None
-    return np.ones(words, bool) if copy else covered(np.asarray(starts), words, length)
+    return np.ones(words, bool) if copy else covered(np.asarray(runs), words, length)
 
 
 def cut(text: bytes, lost: np.ndarray) -> bytes:
@@ -162,12 +230,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of df: id_col, n_words, n_removed, kept_sha256 (of the kept words, joined by spaces), spans (array of
     [first word, word after the last] of the removed runs).
 
-    A null or empty text has no words. Of equal windows the one in the least id is kept; null ids come last; rows of one
-    id and different texts are different documents; rows of one id and text are one document and get equal results. A
+    A null or empty text has no words. Of equal windows the one in the least id is kept; null ids come last. Rows of one
+    id are none earlier than the other, so equal windows in several of them are kept in all; null ids count as one id. A
     text shorter than a window keeps all. An empty table gives an empty result. Other columns aren't read.
     """
     space = Workspace(df.sparkSession, "repeats")
-    marked, starts = repeat_starts(df, space, id_col, text_col, length)
+    marked, found = repeated_runs(df, space, id_col, text_col, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,19 +250,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 runs.append([] if lost is None else spans(lost))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(runs, pa.list_(pa.list_(pa.int32())))], names=[id_col, "n_words", "n_removed", "kept_sha256", "spans"])
 
-    rows = with_starts(marked, starts).select("id", "text", "copy", "starts")
+    rows = with_runs(marked, found).select("id", "text", "copy", "runs")
     return map_batches(rows, run, f"`{id_col}` {dict(df.dtypes)[id_col]}, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>")
 
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
     """df with the repeats cut out of its texts (remove_repeats() says which), and their characters counted anew in count_col; other columns unchanged."""
     space = Workspace(df.sparkSession, "cut")
-    marked, starts = repeat_starts(df, space, id_col, text_col, length)
-    cuts = with_starts(marked, starts).where("copy or starts is not null")
-    cuts = space.save(cuts.select(F.col("key").alias("__k"), "copy", "starts").dropDuplicates(["__k"]), "cuts")
-    rows, total = cuts.agg(F.count("*"), F.sum(F.size("starts"))).first()
-    rows = rows if (total or 0) <= BROADCAST_PLACES else BROADCAST_ROWS + 1
-    joined = df.join(small(cuts, rows), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__k"), "left").select(*(df[c] for c in df.columns), F.coalesce("copy", F.lit(False)).alias("__copy"), F.col("starts").alias("__starts"))
+    marked, found = repeated_runs(df, space, id_col, text_col, length)
+    cuts = with_runs(marked, found).where("copy or runs is not null").select(F.col("key").alias("__k"), "copy", "runs").dropDuplicates(["__k"])
+    cuts = space.save(cuts, "cuts")
+    joined = df.join(few(cuts, "runs"), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__k"), "left").select(*(df[c] for c in df.columns), F.coalesce("copy", F.lit(False)).alias("__copy"), F.col("runs").alias("__runs"))
     at = df.columns.index(text_col)
     counted = df.columns.index(count_col) if count_col in df.columns else None
 
