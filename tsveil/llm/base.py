@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1024
 #: Rows up to which the counted side of a join is broadcast; above, both sides are shuffled.
 BROADCAST_ROWS = 400_000
+#: Rows up to which a side of one number per row is broadcast; above, it is built per partition after a shuffle.
+BROADCAST_KEYS = 2_500_000
 #: Entries after which a worker's word cache starts anew.
 CACHE_WORDS = 400_000
 
@@ -43,6 +45,74 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Bytes of texts whose words are hashed at once.
+SLICE_BYTES = 1 << 21
+#: White space of the word rule [^\\x20\\x09-\\x0D]+, fixed values.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: A random number per byte value, the same after lower-casing A-Z, and the odd base of a word's polynomial.
+PER_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+PER_LOWER = PER_BYTE[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+WORD_BASE = 0xB5026F5AA96619E9
+
+
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as many as asked for so far."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            one = np.ones(1, np.uint64)
+            self.up = np.cumprod(np.concatenate([one, np.full(n + n // 4, self.base)]))
+            self.down = np.cumprod(np.concatenate([one, np.full(n + n // 4, self.inverse)]))
+
+    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each span the sum of its values times the powers 0, 1, ... of the base."""
+        self.reach(len(values) + 1)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=sums[1:])
+        return (sums[ends] - sums[starts]) * self.down[starts]
+
+
+class Words:
+    """Hashes the words of texts, many texts at once: 64 bits per word, from a polynomial in its bytes."""
+
+    def __init__(self, lower: bool):
+        self.values, self.powers = PER_LOWER if lower else PER_BYTE, Powers(WORD_BASE)
+
+    def hash(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, each text's number of words) of texts that end at these places of data."""
+        space = np.ones(len(data) + 1, bool)
+        space[:-1] = SPACE[data]
+        start = ~space
+        start[1:] &= space[:-1]
+        stop = space.copy()
+        stop[1:] &= ~space[:-1]
+        stop[0] = False
+        # a text's end ends a word, and the next text begins another
+        at = ends[(ends > 0) & (ends < len(data))]
+        touching = at[~space[at] & ~space[at - 1]]
+        start[touching] = True
+        stop[touching] = True
+        starts, stops = np.flatnonzero(start), np.flatnonzero(stop)
+        h = mix(self.powers.spans(self.values[data], starts, stops) + (stops - starts).astype(np.uint64))
+        return h, np.diff(np.searchsorted(starts, ends, "left"), prepend=0)
+
+    def of(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The word hashes of each text of a column; of a null text none."""
+        texts = column.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
+            h, n = self.hash(data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i])
+            yield from np.split(h, np.cumsum(n)[:-1])
+            i = j
+
+
 class WordHash(dict):
     """bytes -> 64-bit hash, cached; the cache starts anew when it is full."""
 
@@ -119,3 +189,8 @@ class Workspace:
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are few; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def keyed(table: DataFrame) -> DataFrame:
+    """A saved table of unique numbers, for a join: broadcast if it is small, else with a hint to build its side per partition."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table.hint("shuffle_hash")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsveil.llm import jaccard, langid, lm, media, packing, repeats, sharding, token_counts, wrappers
+from tsveil.llm import decontamination, jaccard, langid, lm, media, packing, repeats, sharding, token_counts, wrappers
 from tsveil.llm.base import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
@@ -48,6 +52,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op2_jaccard, op3_language, op5_lm_score, op6_packing, op7_sharding, op8_main_text, op9_token_counts, op10_repeats)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op2_jaccard, op3_language, op4_decontamination, op5_lm_score, op6_packing, op7_sharding, op8_main_text, op9_token_counts, op10_repeats)}
 
-ORACLE_SQL: dict[str, str] = {"op6_packing": packing.packing_sql(), "op7_sharding": sharding.placement_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.matches_sql(), "op6_packing": packing.packing_sql(), "op7_sharding": sharding.placement_sql()}
