@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsveil.llm.base import BROADCAST_ROWS, WordHash, Workspace, grams, map_batches, mix, signed, small, utf8
+from tsveil.llm.base import BROADCAST_ROWS, Powers, Words, Workspace, grams, keyed, map_batches, mix, signed, small, utf8
 
 LENGTH = 20
 ANCHOR_WORDS = 8
@@ -34,7 +34,7 @@ ANCHOR_WORDS = 8
 BROADCAST_PLACES = 12_000_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Multipliers of the two hashes of a span, odd.
-BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407))
+BASES = (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)
 
 
 def anchor_of_windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -51,22 +51,15 @@ def anchor_of_windows(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class SpanHash:
-    """Hashes of any spans of a document's words, from running sums of word hashes times powers of an odd number."""
+    """Two independent 64-bit hashes of spans of a document's words."""
 
     def __init__(self):
-        self.powers = [np.ones(1, np.uint64)] * 2
-        self.inverses = [np.ones(1, np.uint64)] * 2
+        self.powers = [Powers(base) for base in BASES]
 
-    def of(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of words starts[i] to ends[i] - 1."""
-        n, out = len(h) + 1, []
-        for k, base in enumerate(BASES):
-            if len(self.powers[k]) < n:
-                self.powers[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, base)]))
-                self.inverses[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, np.uint64(pow(int(base), -1, 1 << 64)))]))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + base) * self.powers[k][: n - 1])])
-            out.append(mix((sums[ends] - sums[starts]) * self.inverses[k][starts] + (ends - starts).astype(np.uint64)))
-        return out[0], out[1]
+    def of(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Hashes of words starts[i] to ends[i] - 1."""
+        size = (ends - starts).astype(np.uint64)
+        return [mix(p.spans(mix(h + p.base), starts, ends) + size) for p in self.powers]
 
 
 #: A run of windows as one number: first start * RUN + further windows.
@@ -100,13 +93,12 @@ def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
     width = length - ANCHOR_WORDS + 1
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        words = Words(lower=False)
         for b in batches:
             found, keys, places = [], [], []
-            for key, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                words = text.split()
-                if len(words) >= length:
-                    h = grams(hashes.of(words), ANCHOR_WORDS)
+            for key, h in zip(b.column(0).to_pylist(), words.of(b.column(1)), strict=True):
+                if len(h) >= length:
+                    h = grams(h, ANCHOR_WORDS)
                     at = np.unique(anchor_of_windows(h, width))
                     found.append(h[at])
                     keys.append(np.full(len(at), key))
@@ -115,18 +107,17 @@ def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["anchor", "key", "place"])
 
     anchors = space.save(map_batches(sources.select("key", "text"), seed, "anchor long, key long, place int"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("__anchor"))
-    met = anchors.join(shared.hint("shuffle_hash"), F.col("anchor") == F.col("__anchor"), "left_semi")
+    shared = space.save(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("__anchor")), "shared")
+    met = anchors.join(keyed(shared), F.col("anchor") == F.col("__anchor"), "left_semi")
     places = space.save(met.groupBy("key").agg(F.collect_set("place").alias("places")).withColumnRenamed("key", "__key"), "places")
-    space.drop("anchors")
+    space.drop("anchors", "shared")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, hasher = WordHash(), SpanHash()
+        words, hasher = Words(lower=False), SpanHash()
         for b in batches:
             out = []
             ends, flat = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
-            for i, text in enumerate(utf8(b.column(2))):
-                h = hashes.of(text.split())
+            for i, h in enumerate(words.of(b.column(2))):
                 g = grams(h, ANCHOR_WORDS)
                 anchor = anchor_of_windows(g, width)
                 seeds = np.zeros(len(h) + 1, bool)
@@ -162,12 +153,11 @@ def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
     singles = space.save(placed.where("not later").groupBy("key").agg(F.collect_set("run").alias("runs")).withColumnRenamed("key", "__key"), "singles")
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, hasher = WordHash(), SpanHash()
+        words, hasher = Words(lower=False), SpanHash()
         for b in batches:
             out = []
             ends, flat = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
-            for i, text in enumerate(utf8(b.column(2))):
-                h = hashes.of(text.split())
+            for i, h in enumerate(words.of(b.column(2))):
                 runs = np.sort(flat[ends[i] : ends[i + 1]])
                 first, more = runs // RUN, runs % RUN
                 at = np.repeat(first, more + 1) + np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
