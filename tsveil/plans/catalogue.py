@@ -220,14 +220,19 @@ def maximize_level(spark, sf_dir):
     return found.withColumn("level", F.col("level").cast("bigint"))
 
 
-LEAF = [F.col("id"), F.col("level").cast("bigint").alias("level"), F.col("pr"), F.col("status")]
+
+
+def leaf(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(*more, "id", F.col("level").cast("bigint").alias("level"), "pr", "status")
+
+
 LEAF_SQL = "id, CAST(level AS BIGINT) AS level, pr, status"
 
 
 @query(f"WITH {F1}, {sql.tree(P)} SELECT {LEAF_SQL} FROM leaves")
 def pattern_tree_leaves(spark, sf_dir):
     rows = patterns(spark, sf_dir)[0]
-    return pattern_tree.on_records(rows, pattern_tree.split(pattern_tree.classes(rows), P, Workspace(spark, "tree"))).select(*LEAF)
+    return leaf(pattern_tree.on_records(rows, pattern_tree.split(pattern_tree.classes(rows), P, Workspace(spark, "tree"))))
 
 
 ROOT_SQL = f"id // {BUCKET}"
@@ -241,20 +246,20 @@ def bucket() -> F.Column:
 def pattern_tree_naive(spark, sf_dir):
     rows = patterns(spark, sf_dir)[0]
     leaves = pattern_tree.split(pattern_tree.classes(rows, bucket()), P, Workspace(spark, "tree"))
-    return pattern_tree.on_records(rows, leaves, bucket()).select("root", *LEAF)
+    return leaf(pattern_tree.on_records(rows, leaves, bucket()), "root")
 
 
 @query(f"WITH {F1}, {sql.tree(P, root=ROOT_SQL)}, {sql.merged()} SELECT root, {LEAF_SQL} FROM placed")
 def merge_bad_leaves(spark, sf_dir):
     rows = patterns(spark, sf_dir)[0]
     leaves = pattern_tree.value_first_leaves(rows, bucket(), P, Workspace(spark, "tree"))
-    return pattern_tree.on_records(rows, leaves, bucket()).select("root", *LEAF)
+    return leaf(pattern_tree.on_records(rows, leaves, bucket()), "root")
 
 
 @query(f"WITH {F1}, {sql.tree(P)}, {sql.recycled(P)} SELECT {LEAF_SQL} FROM placed")
 def recycle_leaves(spark, sf_dir):
     rows = patterns(spark, sf_dir)[0]
-    return pattern_tree.on_records(rows, pattern_tree.pattern_first_leaves(rows, P, Workspace(spark, "tree"))).select(*LEAF)
+    return leaf(pattern_tree.on_records(rows, pattern_tree.pattern_first_leaves(rows, P, Workspace(spark, "tree"))))
 
 
 @query(f"WITH r(id, {sql.PATTERN_COLUMNS}) AS (VALUES {', '.join(map(str, SUPPRESSED))}), {sql.tree(P)}, {sql.recycled(P)} SELECT CAST(id AS BIGINT) AS id, status FROM placed")
