@@ -4,7 +4,8 @@ Pages of one host share a template. Each host has EXEMPLARS example pages of dif
 any run picks the same). A page's tree is aligned with each of them by simple tree matching (Yang 1991): two nodes of
 one tag match, and their children are matched in order so that most nodes match. A text whose partner is the same text
 in every aligned example is template; one whose partner varies, or that has none, is a slot. A block all of whose texts
-are template is dropped; a block with a slot is content.
+are template is dropped; a block with a slot is content. An example that has most of the page's text is the same
+article again and isn't asked.
 
 Slots that aren't the article also vary (adverts, menus), so nodes that their tag, class, id or role names as page
 furniture are never content, and a page that marks its article gives only what is inside. Inside a marked article a
@@ -31,7 +32,9 @@ EXEMPLARS = 4
 ARTICLE_EXAMPLES = 3
 #: Examples that must agree outside a marked article.
 LEAST_EXAMPLES = 2
-LANE_ROWS = 4096
+LANE_ROWS = 512
+#: Shares of a page's text beyond which an example is taken for the same article: without and with a marked article.
+SAME_ARTICLE = (0.9, 0.5)
 
 #: HTML, fixed values: elements without content, with raw content, and that end an open paragraph; which element ends which.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +53,8 @@ FURNITURE_NAMES = set(
     "contentinfo cookie cookies consent gdpr notice notification alert popup modal overlay comment comments disqus respond reply replies share sharing social related recommended breadcrumb "
     "breadcrumbs pagination pager newsletter subscribe subscription signup login search toolbar widget skip".split()
 )
+#: Elements whose names speak of the whole page.
+WHOLE = {"html", "body", "main"}
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
@@ -112,7 +117,7 @@ def parse(page: str) -> Node:
             close_to({"p"}, LIMITS)
         if tag in ENDS_ITSELF:
             close_to(ENDS_ITSELF[tag], {"ul", "ol", "dl", "table", "select"} - {tag})
-        node = Node(tag, noise=tag in FURNITURE or bool(attributes) and (bool(HIDDEN.search(attributes)) or named_furniture(attributes)))
+        node = Node(tag, noise=tag in FURNITURE or bool(attributes) and tag not in WHOLE and (bool(HIDDEN.search(attributes)) or named_furniture(attributes)))
         stack[-1].kids.append(node)
         if tag in RAW:
             done = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -228,20 +233,17 @@ def holds_article(root: Node) -> set[int]:
     return out
 
 
-def blocks(root: Node, template: dict[int, int], examples: int) -> list[str]:
-    """The content blocks of a page; template: how many of the examples agree on a text node, by its id."""
+def content_blocks(root: Node) -> tuple[list[list[Node]], bool]:
+    """(text nodes of each block outside page furniture, in page order; whether the page marks its article, outside of which nothing counts)."""
     marked = holds_article(root)
-    out: list[str] = []
-    texts: list[str] = []
-    varies = False
+    out: list[list[Node]] = []
+    texts: list[Node] = []
 
     def flush() -> None:
-        nonlocal varies
-        text = " ".join("".join(texts).split())
-        if text and varies:
-            out.append(text)
-        texts.clear()
-        varies = False
+        nonlocal texts
+        if texts:
+            out.append(texts)
+            texts = []
 
     # (node, inside a marked article); None ends a block
     todo: list[tuple[Node, bool] | None] = [(root, not marked)]
@@ -253,24 +255,23 @@ def blocks(root: Node, template: dict[int, int], examples: int) -> list[str]:
         x, inside = now
         if x.tag == "#":
             if inside:
-                texts.append(x.text)
-                agreed = template.get(id(x), 0)
-                constant = examples >= (ARTICLE_EXAMPLES if marked else LEAST_EXAMPLES) and agreed == examples
-                varies = varies or (not constant and not x.text.isspace())
+                texts.append(x)
             continue
-        if x.noise and id(x) not in marked or (x.tag in FURNITURE) or (x.tag == "header" and not (marked and inside)):
+        if (x.noise and id(x) not in marked) or x.tag in FURNITURE or (x.tag == "header" and not (marked and inside)):
             continue
         if x.tag == "br":
-            texts.append(" ")
+            texts.append(BREAK)
             continue
-        block = x.tag in BLOCKS
-        if block:
+        if x.tag in BLOCKS:
             flush()
             todo.append(None)
         inside = inside or x.tag in ("article", "main") and id(x) in marked
         todo += [(k, inside) for k in reversed(x.kids)]
     flush()
-    return out
+    return out, bool(marked)
+
+
+BREAK = Node("#", " ")
 
 
 class Wrapper:
@@ -287,14 +288,23 @@ class Wrapper:
             return ""
         root = parse(page)
         self.shapes.mark(root)
+        blocks, marked = content_blocks(root)
+        sizes = {id(t): len(t.text) for block in blocks for t in block if not t.text.isspace()}
         agreed: dict[int, int] = {}
-        used = 0
+        used, whole = 0, sum(sizes.values())
         for source, example in zip(self.sources, self.examples, strict=True):
-            if source != page:
+            same = self.shapes.constant(root, example) & sizes.keys() if source != page else sizes.keys()
+            # an example with this page's article tells nothing of the template
+            if sum(sizes[i] for i in same) <= SAME_ARTICLE[marked] * whole:
                 used += 1
-                for i in self.shapes.constant(root, example):
+                for i in same:
                     agreed[i] = agreed.get(i, 0) + 1
-        return "\n\n".join(blocks(root, agreed, used))
+        enough = used >= (ARTICLE_EXAMPLES if marked else LEAST_EXAMPLES)
+        out = []
+        for block in blocks:
+            if any(i in sizes and not (enough and agreed.get(i, 0) == used) for i in map(id, block)):
+                out.append(" ".join("".join(t.text for t in block).split()))
+        return "\n\n".join(out)
 
 
 def host_of(url):
