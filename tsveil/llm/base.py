@@ -1,26 +1,27 @@
-"""What the operators share: bounded Arrow batches, word hashing, tables in the shared folder, checked broadcasts."""
+"""What the operators share: bounded Arrow batches, word hashing, and joins on checked sides; tables are those of the main library."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsveil.workspace import BROADCAST_ROWS, Workspace, small
+
+__all__ = ["BROADCAST_ROWS", "Workspace", "small"]
+
 #: Rows of an Arrow batch that a Python stage sees at once; texts may be long, so it is far below Spark's default.
 BATCH_ROWS = 1024
-#: Rows up to which the counted side of a join is broadcast; above, both sides are shuffled.
-BROADCAST_ROWS = 400_000
 #: Rows up to which a side of one number per row is broadcast; above, it is built per partition after a shuffle.
-BROADCAST_KEYS = 2_500_000
-#: Entries after which a worker's word cache starts anew.
-CACHE_WORDS = 400_000
+BROADCAST_KEYS = 1_500_000
+#: Entries after which a worker's cache of words starts anew.
+CACHE_WORDS = 200_000
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -35,9 +36,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, per_task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of a bounded number of rows."""
+    """mapInArrow with batches of a bounded number of rows; a task's memory goes back to the system at its end, as workers are used again."""
     bound_batches(df.sparkSession)
-    return df.mapInArrow(per_task, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from per_task(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -46,7 +60,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 #: Bytes of texts whose words are hashed at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: White space of the word rule [^\\x20\\x09-\\x0D]+, fixed values.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: A random number per byte value, the same after lower-casing A-Z, and the odd base of a word's polynomial.
@@ -113,19 +127,6 @@ class Words:
             i = j
 
 
-class WordHash(dict):
-    """bytes -> 64-bit hash, cached; the cache starts anew when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -155,42 +156,11 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-class Workspace:
-    """Tables that cut lineage, as Parquet under spark.checkpoint.dir (shared by driver and executors); the JVM deletes the folder when it ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = tempfile.mkdtemp(prefix="tsveil-")
-            spark.sparkContext.setCheckpointDir(root)
-        self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self._fs(self.path).deleteOnExit(self._path(self.path))
-
-    def _path(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self, path: str):
-        return self._path(path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more, and has the JVM free the shuffle files of plans that are gone."""
-        for name in names:
-            path = f"{self.path}/{name}"
-            self._fs(path).delete(self._path(path), True)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def keyed(table: DataFrame) -> DataFrame:
     """A saved table of unique numbers, for a join: broadcast if it is small, else with a hint to build its side per partition."""
     return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table.hint("shuffle_hash")
+
+
+def carried(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text): df's rows as one column, so that joins can add columns of any name; select("row.*") gives them back."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), df[f"`{id_col}`"].alias("id"), df[f"`{text_col}`"].alias("text"))

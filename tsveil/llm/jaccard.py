@@ -21,9 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tsveil.llm.base import WordHash, Workspace, grams, map_batches, mix, signed, small, utf8
+from tsveil.llm.base import Words, Workspace, carried, grams, keyed, map_batches, mix, signed, small
 from tsveil.llm.components import components
 
 SHINGLE = 5
@@ -32,20 +33,20 @@ SIMILARITY = (80, 100)
 MATCHES = 4
 #: Cost of verifying a candidate, in members of a list met.
 VERIFY_COST = 20
-LOCAL_COUNT, WINDOW, FREQUENT = 3, 4_000_000, 300_000
-#: Rounds of meeting leaders at most, and pairs per prefix member beyond which there is another.
-ROUNDS, PAIRS_PER_MEMBER = 6, 2
+LOCAL_COUNT, WINDOW, FREQUENT = 2, 2_000_000, 300_000
+#: Rounds of meeting leaders at most, pairs per prefix member beyond which there is another, and the least share of links among a round's candidates to go on.
+ROUNDS, PAIRS_PER_MEMBER, USEFUL = 6, 2, 0.02
+#: Shared shingles before one that its row lists, so that a pair is met at its first shared shingle only.
+BEFORE = 64
 #: Nodes that a task remembers, so as not to emit copies again.
 SEEN = 200_000
 
 
-def shingles(text: bytes | None, hashes: WordHash, n: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles: runs of n words; of fewer words the whole; empty without words."""
-    words = text.lower().split() if text else ()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    return np.unique(grams(h, n)) if len(words) >= n else mix(grams(h, len(words)) + np.uint64(len(words)))
+def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles, from those of its words: runs of n words; of fewer words the whole; empty without words."""
+    if not len(h):
+        return h
+    return np.unique(grams(h, n)) if len(h) >= n else mix(grams(h, len(h)) + np.uint64(len(h)))
 
 
 def name_of(s: np.ndarray) -> int:
@@ -60,6 +61,11 @@ def alike(n: str, k: str, similarity: tuple[int, int]) -> Column:
     return F.least(n, k) * b >= F.greatest(n, k) * a
 
 
+def lists_of(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays."""
+    return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
 class Join:
     """The steps shared by linked_pairs() and link_components(); see the module's text."""
 
@@ -86,7 +92,7 @@ class Join:
         n_gram = self.shingle
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, held, size = WordHash(), [], 0
+            words, held, size = Words(lower=True), [], 0
 
             def frequent() -> pa.RecordBatch:
                 found, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -96,7 +102,7 @@ class Join:
 
             for b in batches:
                 kind = b.column(0).type
-                sets = [shingles(t, hashes, n_gram) for t in utf8(b.column(1))]
+                sets = [shingles(h, n_gram) for h in words.of(b.column(1))]
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 nodes = pa.array([name_of(s) if len(s) else None for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), nodes, pa.array(np.zeros(len(sets), bool))], names=names)
@@ -117,7 +123,8 @@ class Join:
         self.often = self.spark.sparkContext.broadcast((values[order], counts[order]))
 
     def prefixes(self) -> None:
-        """members: (shingle, node, place, n, m) of the prefixes' shingles that lie in two sets or more; texts: (id, text) of one row per node."""
+        """members: (shingle, node, place, n, m, rank, before) of the prefixes' shingles that lie in two sets or more, rank counting
+        those of a set and before listing its first ones (null if they are over BEFORE); lists: (node, n, m, shingles, places), a row per set; texts: (id, text) of one row per node."""
         n_gram, (a, b_), often = self.shingle, self.similarity, self.often
         least = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")
         firsts = self.docs.where("node is not null").groupBy("node").agg(F.count("*").alias("rows"), least)
@@ -128,12 +135,12 @@ class Join:
         self.texts = self.own.join(small(copies, copies.count()), (F.col("id") == F.col("__id")) & (F.col("t") == F.col("__t")), "left_anti")
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, seen = WordHash(), set()
+            words, seen = Words(lower=True), set()
             values, counts = often.value
             for batch in batches:
                 out: list[tuple] = []
-                for text in utf8(batch.column(0)):
-                    s = shingles(text, hashes, n_gram)
+                for h in words.of(batch.column(0)):
+                    s = shingles(h, n_gram)
                     n = len(s)
                     name = name_of(s) if n else 0
                     if not n or name in seen:
@@ -154,49 +161,88 @@ class Join:
                     yield pa.RecordBatch.from_arrays([signed(np.concatenate([o[0] for o in out])), *(pa.array(np.concatenate([o[k] for o in out])) for k in (1, 2, 3))], names=["shingle", "node", "place", "n"])
 
         emitted = self.space.save(map_batches(self.texts.select("text"), emit, "shingle long, node long, place int, n int"), "emitted")
-        often_met = emitted.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").withColumnRenamed("shingle", "__shingle")
-        met = self.space.save(emitted.join(often_met.hint("shuffle_hash"), F.col("shingle") == F.col("__shingle")).select("shingle", "node", "place", "n", "sets").dropDuplicates(["shingle", "node"]), "met")
+        often_met = self.space.save(emitted.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").withColumnRenamed("shingle", "__shingle"), "often")
+        met = self.space.save(emitted.join(keyed(often_met), F.col("shingle") == F.col("__shingle")).select("shingle", "node", "place", "n", "sets").dropDuplicates(["shingle", "node"]), "met")
         self.space.drop("emitted")
         # each set's m: the cost of the lists that a prefix meets, and of verifying at most lists / m candidates
         lists = [F.sum(F.when(F.col("place") < F.col("n") - self.overlap("n") + m, F.col("sets") - 1).otherwise(0)) for m in range(1, MATCHES + 1)]
         priced = met.groupBy("node").agg(F.max("n").alias("n"), *(x.alias(f"c{m}") for m, x in enumerate(lists, 1)))
         costs = [F.when(F.lit(m) <= self.overlap("n"), F.struct((F.col(f"c{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m"))) for m in range(1, MATCHES + 1)]
         chosen = priced.select(F.col("node").alias("__node"), F.least(*costs)["m"].alias("m"))
-        self.members = self.space.save(met.join(chosen, F.col("node") == F.col("__node")).where(F.col("place") < self.reach("n", "m")).select("shingle", "node", "place", "n", "m"), "members")
+        inside = met.join(chosen, F.col("node") == F.col("__node")).where(F.col("place") < self.reach("n", "m"))
+        order = W.partitionBy("node").orderBy("place")
+        before = F.collect_list("shingle").over(order.rowsBetween(-BEFORE, -1))
+        ranked = inside.withColumn("rank", F.row_number().over(order)).withColumn("before", F.when(F.col("rank") <= BEFORE + 1, before))
+        self.members = self.space.save(ranked.select("shingle", "node", "place", "n", "m", "rank", "before"), "members")
+        lists = inside.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("m").alias("m"), F.array_sort(F.collect_list(F.struct("place", "shingle"))).alias("list"))
+        self.lists = self.space.save(lists.select("node", "n", "m", F.col("list.shingle").alias("shingles"), F.col("list.place").alias("places")), "lists")
         self.space.drop("met")
         self.n_members = self.members.count()
-        # the sets of all nodes that meet another
-        nodes = self.space.save(self.members.select("node").distinct(), "nodes")
-        ids = self.firsts.join(nodes, "node", "left_semi").select(F.col("first").alias("__first"))
-        n_ids = nodes.count()
-        chosen_texts = self.own.join(small(ids, n_ids), F.col("id").eqNullSafe(F.col("__first")), "left_semi") if n_ids else self.own.where("false")
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHash()
+
+    def whole(self, nodes: DataFrame, name: str) -> DataFrame:
+        """(node, members) of the named nodes: their whole sets, from the text of their first row."""
+        n_gram = self.shingle
+        nodes = self.space.save(nodes, f"{name}-nodes")
+        ids = self.firsts.join(small(nodes, count := nodes.count()), "node", "left_semi").select(F.col("first").alias("__first"))
+        chosen = self.own.join(small(ids, count), F.col("id").eqNullSafe(F.col("__first")), "left_semi")
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = Words(lower=True)
             for batch in batches:
-                sets = [s for s in (shingles(t, hashes, n_gram) for t in utf8(batch.column(0))) if len(s)]
+                sets = [s for s in (shingles(h, n_gram) for h in words.of(batch.column(0))) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
 
-        self.whole = self.space.save(map_batches(chosen_texts.select("text"), whole, "node long, members binary").dropDuplicates(["node"]), "whole")
+        # rows that share an id with a named one come along; they name themselves
+        return self.space.save(map_batches(chosen.select("text"), gather, "node long, members binary").join(small(nodes, count), "node", "left_semi"), f"{name}-sets")
 
-    def prefix_matches(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (x, y) those whose prefixes share enough for the smaller m."""
-        one = self.members.select(*(F.col(c).alias(f"{c}_x") for c in self.members.columns))
-        two = self.members.select(*(F.col(c).alias(f"{c}_y") for c in self.members.columns))
-        both = pairs.join(one, F.col("x") == F.col("node_x")).join(two, (F.col("y") == F.col("node_y")) & (F.col("shingle_x") == F.col("shingle_y")))
-        return self.matched(both)
-
-    def matched(self, both: DataFrame) -> DataFrame:
-        """Pairs (x, y) of rows (x, y, place, n and m of both) for each shared shingle that reach the smaller m."""
+    def reaching(self, rows: DataFrame) -> DataFrame:
+        """Of rows (members' columns of x and y) for a shared shingle those whose pair can still be similar.
+
+        As all sets have one order, what two sets share before a shared shingle lies in both prefixes: it is at most the
+        smaller rank of the shingle, and what they share behind it at most the shorter rest.
+        """
         low = F.least("m_x", "m_y")
+        rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) - 1
         inside = (F.col("place_x") < F.col("n_x") - self.overlap("n_x") + low) & (F.col("place_y") < F.col("n_y") - self.overlap("n_y") + low)
-        return both.where(inside).groupBy("x", "y").agg(F.count("*").alias("met"), F.max(low).alias("low")).where("met >= low").select("x", "y")
+        return rows.where(inside & (F.least("rank_x", "rank_y") + rest >= self.needed()))
+
+    def needed(self) -> Column:
+        """The least overlap of similar sets of n_x and n_y members."""
+        a, b_ = self.similarity
+        return F.expr(f"({a}L * (n_x + n_y) + {a + b_ - 1}L) div {a + b_}L")
+
+    def prefix_matches(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (x, y) those whose prefixes for the smaller m share m shingles, and that can reach the overlap with what lies behind the last of these."""
+        x = self.lists.select(*(F.col(c).alias(f"{c}_x") for c in self.lists.columns))
+        y = self.lists.select(*(F.col(c).alias(f"{c}_y") for c in self.lists.columns))
+        rows = pairs.join(x, F.col("x") == F.col("node_x")).join(y, F.col("y") == F.col("node_y")).select("x", "y", "n_x", "m_x", "shingles_x", "places_x", "n_y", "m_y", "shingles_y", "places_y")
+        a, b_ = self.similarity
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                nx, mx, ny, my = (batch.column(c).to_numpy().tolist() for c in (2, 3, 6, 7))
+                sx, px, sy, py = (lists_of(batch.column(c)) for c in (4, 5, 8, 9))
+                for i in range(batch.num_rows):
+                    n, k, low = nx[i], ny[i], min(mx[i], my[i])
+                    to_x = np.searchsorted(px[i], n - (a * n + b_ - 1) // b_ + low)
+                    to_y = np.searchsorted(py[i], k - (a * k + b_ - 1) // b_ + low)
+                    both, at_x, at_y = np.intersect1d(sx[i][:to_x], sy[i][:to_y], assume_unique=True, return_indices=True)
+                    if len(both) >= low:
+                        rest = min(n - int(px[i][at_x.max()]), k - int(py[i][at_y.max()])) - 1
+                        if len(both) + rest >= (a * (n + k) + a + b_ - 1) // (a + b_):
+                            keep.append(i)
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["x", "y"])
+
+        return map_batches(rows, test, "x long, y long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """(x, y, shared, size) of the pairs that are similar enough, by their whole sets."""
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(x, y, shared, size) of the saved pairs that are similar enough, by their whole sets."""
         a, b_ = self.similarity
-        x = self.whole.select(F.col("node").alias("__x"), F.col("members").alias("mx"))
-        y = self.whole.select(F.col("node").alias("__y"), F.col("members").alias("my"))
+        whole = self.whole(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), name)
+        x = whole.select(F.col("node").alias("__x"), F.col("members").alias("mx"))
+        y = whole.select(F.col("node").alias("__y"), F.col("members").alias("my"))
         rows = pairs.join(x, F.col("x") == F.col("__x")).join(y, F.col("y") == F.col("__y")).select("x", "y", "mx", "my")
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +258,9 @@ class Join:
                 at = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], names=["x", "y", "shared", "size"])
 
-        return map_batches(rows, test, "x long, y long, shared long, size long")
+        found = self.space.save(map_batches(rows, test, "x long, y long, shared long, size long"), f"{name}-links")
+        self.space.drop(f"{name}-sets")
+        return found
 
     def cross_pairs(self, labelled: DataFrame) -> DataFrame:
         """Candidate pairs (x, y) of different labels; labelled: members with a label c.
@@ -225,8 +273,10 @@ class Join:
         one = rows.where("odd").select(*(F.col(c).alias(f"{c}_x") for c in rows.columns))
         two = rows.select(*(F.col(c).alias(f"{c}_y") for c in rows.columns))
         meet = (F.col("shingle_x") == F.col("shingle_y")) & (F.col("c_x") != F.col("c_y")) & (~F.col("odd_y") | (F.col("node_x") < F.col("node_y"))) & alike("n_x", "n_y", self.similarity)
-        both = one.join(two, meet).withColumn("x", F.least("node_x", "node_y")).withColumn("y", F.greatest("node_x", "node_y"))
-        return self.matched(both)
+        # a pair is met at its first shared shingle; again only where the shingles before aren't listed
+        first = F.col("before_x").isNull() | F.col("before_y").isNull() | ~F.arrays_overlap("before_x", "before_y")
+        pairs = self.reaching(one.join(two, meet & first)).select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
+        return self.prefix_matches(self.space.save(pairs, "met-pairs"))
 
     def labelled(self, labels: DataFrame | None) -> DataFrame:
         if labels is None:
@@ -247,20 +297,30 @@ class Join:
         """(node, c) of the components, for nodes that have a link."""
         labels = None
         for turn in range(ROUNDS):
-            rows = self.labelled(labels)
-            lists = rows.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-            pairs = lists.agg(F.sum(F.col("sets") * (F.col("sets") - 1) / 2)).first()[0] or 0
-            if pairs <= PAIRS_PER_MEMBER * self.n_members:
+            rows = self.space.save(self.labelled(labels), f"rows{turn}")
+            counts = rows.groupBy("shingle", "c").count().groupBy("shingle").agg(F.sum("count").alias("sets"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.count("*").alias("labels"))
+            lists = self.space.save(counts.where("labels > 1").select(F.col("shingle").alias("list"), ((F.col("sets") * F.col("sets") - F.col("squares")) / 2).alias("pairs")), f"lists{turn}")
+            pairs, n_lists = lists.agg(F.sum("pairs"), F.count("*")).first()
+            if (pairs or 0) <= PAIRS_PER_MEMBER * self.n_members:
                 break
-            lead = rows.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("y"), F.col("n").alias("k"), F.col("c").alias("d"))).alias("lead"))
-            lead = lead.select(F.col("shingle").alias("__shingle"), "lead.*")
-            met = rows.join(lead, F.col("shingle") == F.col("__shingle")).where((F.col("c") != F.col("d")) & alike("n", "k", self.similarity)).select(F.col("node").alias("x"), "y").distinct()
-            links = self.space.save(self.verified(self.space.save(self.prefix_matches(met), f"pairs{turn}")), f"links{turn}")
-            if links.isEmpty():
+            # twice as many leaders per set as in the round before, for fewer sets
+            own = rows.join(small(lists.select("list"), n_lists), F.col("shingle") == F.col("list"), "left_semi").withColumn("seat", F.pmod(F.xxhash64("shingle"), F.lit(2 << turn)))
+            # by turns the set with fewest members of its own before the shingle, which is nearest to the others, or any
+            own_members = (F.col("place") - F.col("rank") if turn % 2 == 0 else F.lit(0)).alias("own")
+            order = F.xxhash64("node", F.lit(turn), "seat").alias("order")
+            lead = own.groupBy("shingle").agg(F.min(F.struct(own_members, order, F.col("node").alias("y"), F.col("n").alias("k"), F.col("c").alias("d"))).alias("lead"))
+            lead = lead.select(F.col("shingle").alias("__shingle"), "lead.y", "lead.k", "lead.d")
+            met = own.join(lead, F.col("shingle") == F.col("__shingle")).where((F.col("c") != F.col("d")) & alike("n", "k", self.similarity)).select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
+            candidates = self.space.save(self.prefix_matches(met), f"pairs{turn}")
+            links = self.verified(candidates, f"turn{turn}")
+            n_links, n_candidates = links.count(), candidates.count()
+            if n_links:
+                labels = self.linked(links, labels, f"turn{turn}")
+            self.space.drop(f"rows{turn}", f"lists{turn}")
+            if n_links <= USEFUL * n_candidates:
                 break
-            labels = self.linked(links, labels, f"turn{turn}")
         pairs = self.space.save(self.cross_pairs(self.labelled(labels)), "pairs")
-        links = self.space.save(self.verified(pairs), "links")
+        links = self.verified(pairs, "last")
         return labels if links.isEmpty() else self.linked(links, labels, "last")
 
 
@@ -295,7 +355,7 @@ def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and (id_col, n_shingles, class_id) of every row, class_id being the least id of its set (null for an empty set).
     Links between rows of one class aren't listed: they hold for all of them. The number of pairs is that of the links."""
     join = Join(df, id_col, text_col, shingle, similarity)
-    links = join.verified(join.space.save(join.cross_pairs(join.labelled(None)), "pairs"))
+    links = join.verified(join.space.save(join.cross_pairs(join.labelled(None)), "pairs"), "last").distinct()
     x, y = (join.firsts.select(F.col("node").alias(f"__{s}"), F.col("first").alias(f"f{s}")) for s in "xy")
     pairs = links.join(x, F.col("x") == F.col("__x")).join(y, F.col("y") == F.col("__y")).select(F.least("fx", "fy").alias("left_id"), F.greatest("fx", "fy").alias("right_id"), "shared", "size")
     at = join.firsts.select(F.col("node").alias("__node"), "first")
@@ -307,4 +367,4 @@ def keep_firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of df, all columns unchanged, that have the least id of their component (of equal ids all stay)."""
     rows = components_of_rows(df, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component")))
     gone = Workspace(df.sparkSession, "firsts").save(rows.select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct(), "gone")
-    return df.join(small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__t")), "left_anti")
+    return carried(df, id_col, text_col).join(small(gone, gone.count()), F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti").select("row.*")
