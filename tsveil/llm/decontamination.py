@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsveil.llm.base import Workspace, keyed, small
+from tsveil.llm.base import Workspace, carried, keyed, small
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -145,7 +145,7 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """The rows of df, all columns unchanged, that contain no item of the benchmark."""
     _, found = contaminated(df, benchmark, id_col, text_col)
     keys = found.select(F.col("key").alias("__key")).distinct()
-    return df.join(small(keys, found.count()), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__key"), "left_anti")
+    return carried(df, id_col, text_col).join(small(keys, found.count()), F.xxhash64("id", "text") == F.col("__key"), "left_anti").select("row.*")
 
 
 def matches_sql(source: str = "documents", benchmark: str = "benchmark") -> str:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsveil.llm.base import Workspace, bound_batches, utf8
+from tsveil.llm.base import Workspace, map_batches, utf8
 from tsveil.llm.langid import held_out
 from tsveil.llm.pieces import MARK, VOCABULARY, read_pieces, zipf_constant
 
@@ -235,7 +235,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
     own = own.select("id", "text", "held", F.when(F.col("held"), F.lit(-1)).otherwise(kind).cast("int").alias("kind"))
     n_classes = len(names) + 1
     columns = [f"n{k}" for k in range(n_classes)]
-    bound_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = [Counter() for _ in range(n_classes + 1)]
@@ -255,7 +254,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
                 yield flush()
         yield flush()
 
-    counted = own.select("text", "kind").mapInArrow(count, "word binary, " + ", ".join(f"{c} long" for c in columns))
+    counted = own.select("text", "kind").transform(map_batches, count, "word binary, " + ", ".join(f"{c} long" for c in columns))
     table = space.save(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)), "words")
     every = sum((F.col(c) for c in columns), F.lit(0))
     docs = {r[0]: r[1] for r in own.where("kind >= 0").groupBy("kind").count().collect()}
@@ -286,7 +285,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
         yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(uses[at[:, 0], at[:, 1]])], names=["piece", "kind", "uses"])
 
     uses = np.zeros((len(pieces), n_classes))
-    fitted = table.where(every > 0).mapInArrow(fit, "piece int, kind int, uses double").groupBy("piece", "kind").agg(F.sum("uses").alias("uses")).toArrow()
+    fitted = table.where(every > 0).transform(map_batches, fit, "piece int, kind int, uses double").groupBy("piece", "kind").agg(F.sum("uses").alias("uses")).toArrow()
     uses[fitted["piece"].to_numpy(), fitted["kind"].to_numpy()] = fitted["uses"].to_numpy()
     model = spark.sparkContext.broadcast((pieces, fitted_weights(prior, uses)))
     logs = [f"p{k}" for k in range(n_classes)]
@@ -299,7 +298,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
             c = counts.sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(totals.base(c)), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(n_classes))], names=["word", "c", "base", *logs])
 
-    rated = space.save(table.mapInArrow(rate, "word binary, c long, base double, " + ", ".join(f"{c} double" for c in logs)), "rated")
+    rated = space.save(map_batches(table, rate, "word binary, c long, base double, " + ", ".join(f"{c} double" for c in logs)), "rated")
     space.drop("words")
     top = rated.orderBy(F.desc("c"), "word").limit(TOP_WORDS).toArrow()
     sent_top = spark.sparkContext.broadcast(([] if not top.num_rows else top["word"].to_pylist(), np.stack([(top["c"].to_numpy() > 0).astype(float), *(top[c].to_numpy() for c in ["base", *logs])], axis=1)))
@@ -338,7 +337,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
 
     fields = ["row", "word", "times", "id", "held", "n_tokens", *(f"s{k}" for k in range(width))]
     id_kind = dict(df.dtypes)[id_col]
-    parts = own.select("id", "text", "held").mapInArrow(add, f"row long, word binary, times long, id {id_kind}, held boolean, n_tokens long, " + ", ".join(f"s{k} double" for k in range(width)))
+    parts = map_batches(own.select("id", "text", "held"), add, f"row long, word binary, times long, id {id_kind}, held boolean, n_tokens long, " + ", ".join(f"s{k} double" for k in range(width)))
     joined = parts.join(rated.withColumnRenamed("word", "__word"), F.col("word") == F.col("__word"), "left")
     weigh = [F.sum(F.coalesce(F.col(f"s{k}"), F.col("times") * c)) for k, c in enumerate([(F.col("c") > 0).cast("double"), F.col("base"), *map(F.col, logs)])]
     summed = joined.groupBy("row").agg(F.max("id").alias("id"), F.max("held").alias("held"), F.max("n_tokens").alias("n_tokens"), *(w.alias(f"s{k}") for k, w in enumerate(weigh)))

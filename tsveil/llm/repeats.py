@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsveil.llm.base import BROADCAST_ROWS, Powers, Words, Workspace, grams, keyed, map_batches, mix, signed, small, utf8
+from tsveil.llm.base import BROADCAST_ROWS, Powers, Words, Workspace, carried, grams, keyed, map_batches, mix, signed, small, utf8
 
 LENGTH = 20
 ANCHOR_WORDS = 8
@@ -250,7 +250,8 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     marked, found = repeated_runs(df, space, id_col, text_col, length)
     cuts = with_runs(marked, found).where("copy or runs is not null").select(F.col("key").alias("__k"), "copy", "runs").dropDuplicates(["__k"])
     cuts = space.save(cuts, "cuts")
-    joined = df.join(few(cuts, "runs"), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__k"), "left").select(*(df[c] for c in df.columns), F.coalesce("copy", F.lit(False)).alias("__copy"), F.col("runs").alias("__runs"))
+    met = carried(df, id_col, text_col).join(few(cuts, "runs"), F.xxhash64("id", "text") == F.col("__k"), "left")
+    joined = met.select("row.*", F.coalesce("copy", F.lit(False)).alias("__copy"), F.col("runs").alias("__runs"))
     at = df.columns.index(text_col)
     counted = df.columns.index(count_col) if count_col in df.columns else None
 
