@@ -368,3 +368,23 @@ def keep_firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = components_of_rows(df, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component")))
     gone = Workspace(df.sparkSession, "firsts").save(rows.select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct(), "gone")
     return carried(df, id_col, text_col).join(small(gone, gone.count()), F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti").select("row.*")
+
+
+def components_sql(source: str = "documents") -> str:
+    """DuckDB SQL for link_components() over unique ids, by comparing all sets that share a shingle."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+    a, b = SIMILARITY
+    return f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {words} AS words FROM {source}
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[p:p + {SHINGLE - 1}], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {SHINGLE - 1}, least(len(words), 1)) + 1)) AS p FROM w)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT x.doc_id AS x, y.doc_id AS y FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING {b} * count(*) >= {a} * (any_value(nx.n) + any_value(ny.n) - count(*))
+), reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(w.doc_id, min(r.y)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach r ON r.x = w.doc_id GROUP BY w.doc_id
+"""

@@ -54,4 +54,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op2_jaccard, op3_language, op4_decontamination, op5_lm_score, op6_packing, op7_sharding, op8_main_text, op9_token_counts, op10_repeats)}
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.matches_sql(), "op6_packing": packing.packing_sql(), "op7_sharding": sharding.placement_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_jaccard": jaccard.components_sql(), "op10_repeats": repeats.repeats_sql(), "op4_decontamination": decontamination.matches_sql(), "op6_packing": packing.packing_sql(), "op7_sharding": sharding.placement_sql()}

@@ -274,3 +274,22 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     names = df.columns
     return map_batches(joined, run, df.schema)
+
+
+def repeats_sql(source: str = "documents", length: int = LENGTH) -> str:
+    """DuckDB SQL for remove_repeats() over unique ids, without spans, by comparing all windows as texts."""
+    return rf"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM {source}
+), windows AS (
+  SELECT doc_id, p, array_to_string(words[p:p + {length - 1}], ' ') AS win
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {length - 2}, 1))) AS p FROM w)
+), later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1
+), lost AS (SELECT DISTINCT doc_id, p + d AS p FROM later, range({length}) t(d)
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.p) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) w ANTI JOIN lost l ON l.doc_id = w.doc_id AND l.p = w.p
+  GROUP BY w.doc_id
+)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
