@@ -446,6 +446,27 @@ def test_test_data_pages(spark):
     assert {r["page_id"]: r["text"] for r in wrappers.extract_text(pages).collect()} == want
 
 
+def test_every_template_of_a_host(spark):
+    # three templates on one host, two of them rare; of the last most of the text is notice
+    frames = [
+        ("<div class=blog><p>{0}</p><p>Blog notice: all opinions are our own</p></div>", 40),
+        ("<div class=shop><ul><li>{0}</li></ul><p>Prices include taxes</p></div>", 6),
+        ("<section><p>{0}</p><p>" + "Long terms of the publisher. " * 60 + "</p></section>", 9),
+    ]
+    pages, want = [], {}
+    for frame, n in frames:
+        for _ in range(n):
+            i = len(pages)
+            want[i] = f"Own text number {i} of this page"
+            pages.append((i, "http://many.example/p", f"<html><body>{frame.format(want[i])}</body></html>"))
+    # an article with copies that differ in a note stays whole
+    for i in range(100, 104):
+        pages.append((i, "http://copies.example/p", f"<body><div><p>A long story that was published again and again, with every word of it and all of its long sentences</p><p>note {i}</p></div></body>"))
+        want[i] = f"A long story that was published again and again, with every word of it and all of its long sentences\n\nnote {i}"
+    out = wrappers.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in out} == want
+
+
 # --- 9 token counts
 
 

@@ -7,16 +7,24 @@ in every aligned example is template; one whose partner varies, or that has none
 are template is dropped; a block with a slot is content. An example that has most of the page's text is the same
 article again and isn't asked.
 
+Examples are few, so all pages of a host are counted too. Pages of one frame (the paths and names of their containers
+outside page furniture and articles) share a template, of which a host may have many. A text at one path on at least
+SHARE of a frame's different pages is template, also where the examples don't show it, if as many pages as examples with
+their page would be have it beside different longest texts (copies of one article share theirs), or if over half of
+FRAME_PAGES or more pages have it, however much of them it is.
+
 Slots that aren't the article also vary (adverts, menus), so nodes that their tag, class, id or role names as page
 furniture are never content, and a page that marks its article gives only what is inside. Inside a marked article a
 text is template only if ARTICLE_EXAMPLES examples or more agree.
 
-A host's pages are dealt to lanes of about LANE_ROWS pages and streamed behind the host's examples, so a task never
-holds a host.
+Pages are parsed once to count and once to extract; what is counted of a text is 64-bit hashes, added up map-side. A
+host's pages are dealt to lanes of about LANE_ROWS pages and streamed behind the host's examples and template texts, so a task
+never holds a host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -26,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tsveil.llm.base import map_batches, small
+from tsveil.llm.base import Workspace, map_batches, small
 
 EXEMPLARS = 4
 ARTICLE_EXAMPLES = 3
@@ -35,6 +43,10 @@ LEAST_EXAMPLES = 2
 LANE_ROWS = 512
 #: Shares of a page's text beyond which an example is taken for the same article: without and with a marked article.
 SAME_ARTICLE = (0.9, 0.5)
+#: Least share of a frame's pages with a template text; pages of a frame from which a majority alone decides.
+SHARE, FRAME_PAGES = 0.1, 8
+#: Elements that make a page's frame.
+CONTAINERS = set("html body div section main header article table form ul ol dl".split())
 
 #: HTML, fixed values: elements without content, with raw content, and that end an open paragraph; which element ends which.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,11 +73,12 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 
 
 class Node:
-    __slots__ = ("kids", "noise", "shape", "size", "tag", "text")
+    __slots__ = ("kids", "name", "noise", "shape", "size", "tag", "text")
 
     def __init__(self, tag: str, text: str = "", noise: bool = False):
         self.tag, self.text, self.noise, self.kids = tag, text, noise, []
         self.shape = self.size = 0
+        self.name = ""
 
 
 def named_furniture(attributes: str) -> bool:
@@ -118,6 +131,8 @@ def parse(page: str) -> Node:
         if tag in ENDS_ITSELF:
             close_to(ENDS_ITSELF[tag], {"ul", "ol", "dl", "table", "select"} - {tag})
         node = Node(tag, noise=tag in FURNITURE or bool(attributes) and tag not in WHOLE and (bool(HIDDEN.search(attributes)) or named_furniture(attributes)))
+        if attributes and tag in CONTAINERS and tag not in WHOLE:
+            node.name = " ".join(x for x in " ".join(m.strip("\"'") for m in NAMED.findall(attributes)).split() if not any(map(str.isdigit, x)))
         stack[-1].kids.append(node)
         if tag in RAW:
             done = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -274,10 +289,69 @@ def content_blocks(root: Node) -> tuple[list[list[Node]], bool]:
 BREAK = Node("#", " ")
 
 
+def hash64(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def frame_of(root: Node, blocks: list[list[Node]]) -> tuple[int, dict[int, int]]:
+    """(the page's frame; path and text of each text of these blocks, by its id), as hashes."""
+    wanted = {id(t) for block in blocks for t in block if not t.text.isspace()}
+    containers, found = set(), {}
+    todo = [(root, "", "")]
+    while todo:
+        x, path, frame = todo.pop()
+        if x.tag == "#":
+            if id(x) in wanted:
+                found[id(x)] = hash64(f"{path}\0{' '.join(x.text.split())}")
+            continue
+        path = f"{path}/{x.tag}"
+        if frame is not None and x.tag in CONTAINERS and not x.noise:
+            frame = f"{frame}/{x.tag} {x.name}"
+            containers.add(frame)
+        if x.tag == "article" or x.noise:
+            frame = None
+        todo += [(k, path, frame) for k in x.kids]
+    return hash64("\0".join(sorted(containers))), found
+
+
+def evidence(page: str) -> tuple[int, int, int, int, set[int]]:
+    """(frame, least pages that must agree, longest text, all text, texts with their paths) of a page, as hashes."""
+    root = parse(page)
+    blocks, marked = content_blocks(root)
+    frame, found = frame_of(root, blocks)
+    texts = [t.text for block in blocks for t in block if id(t) in found]
+    return frame, 1 + (ARTICLE_EXAMPLES if marked else LEAST_EXAMPLES), hash64(max(texts, key=len, default="")), hash64("\0".join(texts)), set(found.values())
+
+
+#: The text that stands for a page itself.
+PAGE = 0
+#: Bits of the longest texts' hashes that number a place in a bitmap of 64: as many texts differ as a bitmap has places.
+BITMAPS = (0, 6, 12, 18)
+
+
+def template_texts(pages: DataFrame) -> DataFrame:
+    """(host, frame, texts: hashes of path and text) of the texts that all of a host's pages (host, html) show to be template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(host, frame, least, lead, body, t) for host, page in zip(*(c.to_pylist() for c in b.columns), strict=True) if page for frame, least, lead, body, texts in [evidence(page)] for t in (PAGE, *texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 6, [pa.string(), *[pa.int64()] * 5], strict=True)], names=["host", "frame", "least", "lead", "body", "t"])
+
+    rows = map_batches(pages.select("host", "html"), run, "host string, frame long, least long, lead long, body long, t long").distinct()
+    maps = [F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(lead, {b}) & 63 as int))")).alias(f"map{b}") for b in BITMAPS]
+    counted = rows.groupBy("host", "frame", "least", "t").agg(F.count("*").alias("n"), *maps).where(F.col("n") >= F.col("least"))
+    counted = counted.select("host", "frame", "least", "t", "n", F.greatest(*(F.bit_count(f"map{b}") for b in BITMAPS)).alias("leads"))
+    # a frame's pages and its texts meet in one aggregate
+    of_frame = counted.groupBy("host", "frame", "least").agg(F.max(F.when(F.col("t") == PAGE, F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("t") != PAGE, F.struct("t", "n", "leads"))).alias("all"))
+    kept = "transform(filter(all, x -> (x.leads >= least and x.n >= {s} * pages) or (pages >= {p} and 2 * x.n > pages)), x -> x.t)".format(s=SHARE, p=FRAME_PAGES)
+    return of_frame.select("host", "frame", F.expr(kept).alias("texts")).where(F.size("texts") > 0)
+
+
 class Wrapper:
     """A host's example pages, parsed, with the shapes that they and the host's pages share."""
 
-    def __init__(self, shapes: Shapes, examples: list[str]):
+    def __init__(self, shapes: Shapes, examples: list[str], template: dict[int, set[int]] | None = None):
+        self.template = template or {}
         self.shapes, self.sources, self.examples = shapes, examples, [parse(e) for e in examples]
         for e in self.examples:
             shapes.mark(e)
@@ -300,9 +374,14 @@ class Wrapper:
                 for i in same:
                     agreed[i] = agreed.get(i, 0) + 1
         enough = used >= (ARTICLE_EXAMPLES if marked else LEAST_EXAMPLES)
+        counted: set[int] = set()
+        if self.template:
+            frame, found = frame_of(root, blocks)
+            known = self.template.get(frame, ())
+            counted = {i for i, t in found.items() if t in known}
         out = []
         for block in blocks:
-            if any(i in sizes and not (enough and agreed.get(i, 0) == used) for i in map(id, block)):
+            if any(i in sizes and i not in counted and not (enough and agreed.get(i, 0) == used) for i in map(id, block)):
                 out.append(" ".join("".join(t.text for t in block).split()))
         return "\n\n".join(out)
 
@@ -316,9 +395,10 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per row of df: id_col, url_col, text, n_chars (code points).
 
     A null or empty page gives an empty text; a null URL counts as a host of its own. Pages are read whole, repeated rows
-    give repeated rows, an empty table an empty result. A host of one page has no examples: then only markup
-    tells furniture from content. Other columns aren't read.
+    give repeated rows, an empty table an empty result. A template of fewer pages than must agree (three, or four with a
+    marked article) can't be told from copies of an article: then only markup tells furniture from content. Other columns aren't read.
     """
+    NO_TEXTS = F.lit(None).cast("array<bigint>").alias("texts")
     own = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
     keyed = own.where("html is not null").select("host", F.md5(F.col("html").cast("binary")).alias("hash"))
     ranked = keyed.groupBy("host", "hash").count().withColumn("at", F.row_number().over(W.partitionBy("host").orderBy("hash"))).where(F.col("at") <= EXEMPLARS)
@@ -330,23 +410,32 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     n_picked = picked.count()
     same = (F.col("host") == F.col("__host")) & (F.md5(F.col("html").cast("binary")) == F.col("__hash"))
     examples = pages.join(small(picked, n_picked), same).groupBy("host", "__hash").agg(F.max("lanes").alias("lanes"), F.any_value("html").alias("html"))
-    examples = examples.select("host", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("kind"), F.col("__hash").alias("hash"), F.lit(None).cast(dict(df.dtypes)[id_col]).alias("id"), F.lit(None).cast("string").alias("url"), "html")
-    rows = pages.select("host", F.pmod(F.xxhash64("id", "url", F.length("html")), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("kind"), F.lit("").alias("hash"), "id", "url", "html")
-    streams = examples.unionByName(rows).repartition("host", "lane").sortWithinPartitions("host", "lane", "kind", "hash")
+    examples = examples.select("host", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("kind"), F.col("__hash").alias("hash"), F.lit(None).cast(dict(df.dtypes)[id_col]).alias("id"), F.lit(None).cast("string").alias("url"), "html", NO_TEXTS, F.lit(None).cast("bigint").alias("frame"))
+    space = Workspace(df.sparkSession, "main_text")
+    template = space.save(template_texts(own), "template")
+    n_template = template.count()
+    of_host = own.groupBy("host").agg(F.ceil(F.count("*") / LANE_ROWS).cast("int").alias("lanes")).withColumnRenamed("host", "__host")
+    known = of_host.join(small(template, n_template), F.col("__host") == F.col("host"))
+    known = known.select("host", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("kind"), F.lit("").alias("hash"), F.lit(None).cast(dict(df.dtypes)[id_col]).alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "texts", "frame")
+    rows = pages.select("host", F.pmod(F.xxhash64("id", "url", F.length("html")), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("kind"), F.lit("").alias("hash"), "id", "url", "html", NO_TEXTS, F.lit(None).cast("bigint").alias("frame"))
+    streams = examples.unionByName(known).unionByName(rows).repartition("host", "lane").sortWithinPartitions("host", "lane", "kind", "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sources, wrapper, shapes = None, [], None, Shapes()
+        key, sources, template, wrapper, shapes = None, [], {}, None, Shapes()
         for b in batches:
             ids, texts, places = b.column(4), [], []
             for i, (host, lane, kind, page) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(6).to_pylist(), strict=True)):
                 if key != (host, lane):
-                    key, sources, wrapper = (host, lane), [], None
+                    key, sources, template, wrapper = (host, lane), [], {}, None
                     if len(shapes.numbers) > 500_000:
                         shapes = Shapes()
                 if kind == 0:
-                    sources.append(page)
+                    if page is None:
+                        template.setdefault(b.column(8)[i].as_py(), set()).update(b.column(7)[i].as_py())
+                    else:
+                        sources.append(page)
                     continue
-                wrapper = wrapper or Wrapper(shapes, sources)
+                wrapper = wrapper or Wrapper(shapes, sources, template)
                 texts.append(wrapper.extract(page))
                 places.append(i)
             at = pa.array(places, pa.int64())
