@@ -348,6 +348,13 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def test_one_long_row_moves_no_other_boundary(spark):
+    lengths = [*range(1, 101), 6_500_000]
+    out = packing.pack(spark.createDataFrame([(n,) for n in lengths], "doc_id long"), F.col("doc_id")).collect()
+    assert sorted({r["boundary"] for r in out}) == packing.best_boundaries(lengths, [1] * len(lengths))
+    assert all(r["boundary"] - r["n_tokens"] < 20 for r in out)
+
+
 # --- 7 sharding
 
 

@@ -1,8 +1,8 @@
 """Operator 6, packing: length buckets of least padding, and batches of a token budget inside each bucket.
 
 A row of n tokens in a bucket with boundary b >= n costs b - n tokens of padding. The lengths of all rows are counted
-into one histogram (a row per distinct length, at most HISTOGRAM_BINS after rounding up); dynamic programming over it
-finds the boundaries of least total padding. The cost is Monge, so the best predecessor moves monotonically and each
+into one histogram (a row per distinct length, of which n need texts of n * n / 2 tokens together: the driver holds all);
+dynamic programming over it finds the boundaries of least total padding. The cost is Monge, so the best predecessor moves monotonically and each
 bucket takes n log n steps. A batch then holds floor(budget / boundary) rows of one bucket, one row at least.
 
 Rows of a bucket are dealt to lanes of about LANE_ROWS rows by a hash of the id, and numbered inside a lane, so that no
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 BUCKETS = 8
 BUDGET = 16_384
 LANE_ROWS = 50_000
-HISTOGRAM_BINS = 65_536
 #: White space of the word rule, fixed values: space, and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -75,11 +74,8 @@ def pack(df: DataFrame, tokens: Column, id_col: str = "doc_id", budget: int = BU
     columns aren't read.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("bigint").alias("n_tokens"))
-    longest = rows.agg(F.max("n_tokens")).first()[0]
-    grain = max(1, -(-(longest or 1) // HISTOGRAM_BINS))
-    cell = F.ceil(F.col("n_tokens") / grain)
-    histogram = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("n_tokens").alias("longest")).orderBy("cell").collect() if longest is not None else []
-    lengths, counts = [r["longest"] for r in histogram], [r["n"] for r in histogram]
+    histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
+    lengths, counts = (histogram.column(k).to_pylist() for k in range(2))
     bounds = best_boundaries(lengths, counts, buckets)
     held = [0] * len(bounds)
     for length, n in zip(lengths, counts, strict=True):
