@@ -317,6 +317,15 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert out[0] > out[1]
 
 
+def test_decontamination_of_swapped_halves(spark):
+    half = [[f"{c}{i}" for i in range(30)] for c in "ab"]
+    bench = spark.createDataFrame([(1, " ".join(half[0] + half[1]))], "item_id long, text string")
+    filler = [f"f{i}" for i in range(100)]
+    out = decontamination.matches(table(spark, [(1, " ".join(filler + half[1] + half[0] + filler), None, None, None)], False), bench).collect()
+    # 52 of the 56 shingles on both sides
+    assert [(r["item_id"], r["start"], r["n_words"], r["similarity"]) for r in out] == [(1, 100, 60, round(52 / 60, 6))]
+
+
 # --- 6 packing
 
 

@@ -7,8 +7,8 @@ weighted Jaccard similarity of at least SIMILARITY with it.
 
 1. Windows. A window that similar shares shingles with the item, and all of them together weigh SIMILARITY of the item at
    least; so do then those of the whole document. Documents are read once, their shingles meet those of the benchmark,
-   and only (document, item) pairs of that weight go on: each shared shingle places a window of the item's size where the
-   item would begin.
+   and only (document, item) pairs of that weight go on: every window of the item's size that holds a shared shingle is
+   weighed, wherever the item has that shingle, and those of that weight are fingerprinted. Nothing is lost.
 2. Fingerprints. A bit of a SimHash is the sign of the weighted votes of all of a window's (or item's) shingles.
 3. Multi-index: fingerprints are cut into BLOCKS blocks. Within RADIUS bits, at least one block differs by at most
    RADIUS / BLOCKS bits, so items are listed under each block and all its neighbours that near, and every pair within the
@@ -90,21 +90,26 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     item_grams = space.save(placed.select("item", "n", "gram").distinct().join(weights, "gram"), "item_grams")
     item_prints = space.save(fingerprints(item_grams, "item", "n").withColumnRenamed("weight", "item_weight"), "item_prints")
 
-    # 1: shared shingles place windows
+    # 1: windows by the weight of their shared shingles
     doc_grams = every_gram(own.select("id", "key", words_of(F.col("text")).alias("words")), "words", [SHINGLE, *short])
-    listed = placed.groupBy("gram").agg(F.collect_set(F.struct("item", "n", "offset")).alias("at")).join(weights, "gram").select(F.col("gram").alias("__gram"), "at", "w")
+    listed = placed.groupBy("gram").agg(F.collect_set(F.struct("item", "n")).alias("at")).join(weights, "gram").select(F.col("gram").alias("__gram"), "at", "w")
     listed = space.save(listed, "listed")
-    met = doc_grams.join(keyed(listed), F.col("gram") == F.col("__gram")).select("id", "key", "place", "gram", "w", F.explode("at").alias("a"))
-    hits = space.save(met.select("id", "key", "gram", "w", "a.item", "a.n", (F.col("place") - F.col("a.offset")).alias("start")).distinct(), "hits")
+    met = doc_grams.join(keyed(listed), F.col("gram") == F.col("__gram")).select("key", "place", "gram", "w", F.explode("at").alias("a"))
+    hits = space.save(met.select("key", "gram", "w", "a.item", "a.n", "place").distinct(), "hits")
+    heavy = F.round(F.col("shared") / F.col("item_weight"), 9) >= SIMILARITY
     shared = hits.select("key", "item", "gram", "w").distinct().groupBy("key", "item").agg(F.sum("w").alias("shared"))
-    enough = shared.join(item_prints.select("item", "item_weight"), "item").where(F.round(F.col("shared") / F.col("item_weight"), 9) >= SIMILARITY)
-    windows = space.save(hits.join(enough.select("key", "item"), ["key", "item"]).select("key", "start", "n").distinct(), "windows")
+    enough = space.save(shared.join(item_prints.select("item", "item_weight"), "item").where(heavy).select("key", "item", "item_weight"), "enough")
+    held = hits.join(small(enough, enough.count()), ["key", "item"])
+    first = F.greatest(F.col("place") - F.col("n") + F.least("n", F.lit(SHINGLE)), F.lit(0))
+    held = held.select("key", "item", "item_weight", "n", "gram", "w", F.explode(F.sequence(first, F.col("place"))).alias("start")).distinct()
+    windows = held.groupBy("key", "item", "item_weight", "n", "start").agg(F.sum("w").alias("shared")).where(heavy)
+    windows = space.save(windows.select("key", "start", "n").distinct(), "windows")
 
     # 2: fingerprints of those windows
     keys = space.save(windows.select("key").distinct(), "keys")
     texts = own.join(small(keys, keys.count()), "key", "left_semi").dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words"))
     last = F.greatest(F.size("words") - F.col("n"), F.lit(0))
-    cut = texts.join(windows, "key").select("key", "n", F.greatest(F.least("start", last), F.lit(0)).alias("start"), "words").dropDuplicates(["key", "n", "start"])
+    cut = texts.join(windows, "key").where(F.col("start") <= last)
     cut = cut.select("key", "n", "start", F.slice(F.col("words"), F.col("start") + 1, F.col("n")).alias("words"))
     grams = with_grams(cut.where(F.col("n") >= SHINGLE), "words", SHINGLE)
     for size in short:
