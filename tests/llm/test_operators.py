@@ -206,6 +206,16 @@ def test_language_accuracy(spark):
     assert n > 150 and right / n > 0.98
 
 
+def test_every_label_is_learned(spark):
+    # 70 languages of their own letters; the least frequent one has long texts only
+    own = [" ".join(chr(0x4E00 + 30 * i + (j * k) % 30) * 3 for j in range(1, 8) for k in range(1, 4)) for i in range(70)]
+    rows = [(2 * i + k, own[i], f"l{i:02}") for i in range(69) for k in range(2)] + [(1000, (own[69] + " ") * 500, "long")]
+    texts = langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert [k for k, _ in texts] == [*(f"l{i:02}" for i in range(69)), "long"]
+    classifier = langid.Classifier(texts)
+    assert len(rows[-1][1]) > langid.SAMPLE_CHARS and all(classifier.predict(text)[0] == lang for _, text, lang in rows)
+
+
 # --- 4 decontamination
 
 

@@ -7,7 +7,8 @@ per character estimate the cross entropy; the language of the fewest bits wins.
 side and no phrase spans two words, so a word's phrases are counted once per cached word, for all languages at once.
 
 The automata are fitted on a bounded sample of the labelled rows: SAMPLE_ROWS rows of each language in the order of a
-hash of their id, of which each is used that still fits in SAMPLE_CHARS characters. All rows are then classified.
+hash of their id, of which each is used that still fits in SAMPLE_CHARS characters; of a language whose texts are all
+longer, the beginning of one. Every label is learned, and all rows are then classified.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from tsveil.llm.base import CACHE_WORDS, map_batches
 
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 40_000
-#: Languages of the labels at most, those of most rows first.
-LANGUAGES = 64
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 LANE = 32
@@ -120,18 +119,22 @@ def held_out(key: Column, of: int = 4, fold: int = 2) -> Column:
 def training_texts(df: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """(language, its text for the automaton) of the bounded sample of df's labelled rows; most frequent language first."""
     own = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).where("__lang is not null and __text is not null")
-    known = [r[0] for r in own.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(LANGUAGES).collect()]
-    order = W.partitionBy("__lang").orderBy("__hash", "__id")
-    short = own.select("__id", "__lang", F.length("__text").alias("__n"), F.xxhash64("__id").alias("__hash")).where(F.col("__n").between(1, chars))
-    drawn = short.where(F.col("__lang").isin(known)).withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= rows).collect()
+    known = [r[0] for r in own.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").collect()]
+    order = W.partitionBy("__lang").orderBy(F.col("__n") > chars, "__hash", "__id")
+    sized = own.select("__id", "__lang", F.length("__text").alias("__n"), F.xxhash64("__id").alias("__hash")).where("__n > 0")
+    drawn = sized.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= rows).collect()
     left, chosen = dict.fromkeys(known, chars), []
     for r in sorted(drawn, key=lambda r: (r["__lang"], r["__at"])):
-        if r["__n"] <= left[r["__lang"]]:
-            left[r["__lang"]] -= r["__n"]
-            chosen.append(r["__id"])
+        # a longer text only if nothing fits: its first characters
+        n = min(r["__n"], chars)
+        if n <= left[r["__lang"]]:
+            left[r["__lang"]] -= n
+            chosen.append((r["__id"], r["__lang"]))
     vocabulary: dict[str, dict[str, None]] = {k: {} for k in known}
     if chosen:
-        for r in own.where(F.col("__id").isin(chosen) & F.col("__lang").isin(known)).orderBy("__id", "__text").limit(2 * rows * len(known)).collect():
+        picked = F.broadcast(df.sparkSession.createDataFrame(chosen, own.select("__id", "__lang").schema))
+        texts = own.join(picked, ["__id", "__lang"], "left_semi").select("__id", "__lang", F.substring("__text", 1, chars).alias("__text"))
+        for r in texts.orderBy("__id", "__text").limit(2 * rows * len(known)).collect():
             vocabulary[r["__lang"]].update(dict.fromkeys(words(r["__text"])))
     return [(k, f" {' '.join(sorted(v))} ") for k, v in vocabulary.items() if v]
 
