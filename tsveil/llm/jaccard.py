@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsveil.llm.base import Words, Workspace, carried, grams, keyed, map_batches, mix, signed, small
@@ -123,8 +122,8 @@ class Join:
         self.often = self.spark.sparkContext.broadcast((values[order], counts[order]))
 
     def prefixes(self) -> None:
-        """members: (shingle, node, place, n, m, rank, before) of the prefixes' shingles that lie in two sets or more, rank counting
-        those of a set and before listing its first ones (null if they are over BEFORE); lists: (node, n, m, shingles, places), a row per set; texts: (id, text) of one row per node."""
+        """lists: (node, n, m, shingles, places), a row per set: its prefix's shingles that lie in two sets or more;
+        texts: (id, text) of one row per node."""
         n_gram, (a, b_), often = self.shingle, self.similarity, self.often
         least = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least")
         firsts = self.docs.where("node is not null").groupBy("node").agg(F.count("*").alias("rows"), least)
@@ -170,14 +169,10 @@ class Join:
         costs = [F.when(F.lit(m) <= self.overlap("n"), F.struct((F.col(f"c{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m"))) for m in range(1, MATCHES + 1)]
         chosen = priced.select(F.col("node").alias("__node"), F.least(*costs)["m"].alias("m"))
         inside = met.join(chosen, F.col("node") == F.col("__node")).where(F.col("place") < self.reach("n", "m"))
-        order = W.partitionBy("node").orderBy("place")
-        before = F.collect_list("shingle").over(order.rowsBetween(-BEFORE, -1))
-        ranked = inside.withColumn("rank", F.row_number().over(order)).withColumn("before", F.when(F.col("rank") <= BEFORE + 1, before))
-        self.members = self.space.save(ranked.select("shingle", "node", "place", "n", "m", "rank", "before"), "members")
         lists = inside.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("m").alias("m"), F.array_sort(F.collect_list(F.struct("place", "shingle"))).alias("list"))
         self.lists = self.space.save(lists.select("node", "n", "m", F.col("list.shingle").alias("shingles"), F.col("list.place").alias("places")), "lists")
         self.space.drop("met")
-        self.n_members = self.members.count()
+        self.n_members = self.lists.agg(F.sum(F.size("shingles"))).first()[0] or 0
 
     def whole(self, nodes: DataFrame, name: str) -> DataFrame:
         """(node, members) of the named nodes: their whole sets, from the text of their first row."""
@@ -263,7 +258,7 @@ class Join:
         return found
 
     def cross_pairs(self, labelled: DataFrame) -> DataFrame:
-        """Candidate pairs (x, y) of different labels; labelled: members with a label c.
+        """Candidate pairs (x, y) of different labels; labelled: see labelled().
 
         On each list, sets outside the list's most frequent label meet all sets of other labels, so a list of one label costs nothing.
         """
@@ -279,9 +274,18 @@ class Join:
         return self.prefix_matches(self.space.save(pairs, "met-pairs"))
 
     def labelled(self, labels: DataFrame | None) -> DataFrame:
+        """(shingle, node, place, n, m, rank, before, c): the members of all lists with their set's label c, its own node if it has none.
+
+        Labels are joined to sets, not to members. rank counts a set's members; before lists its first ones (null if they are over BEFORE).
+        """
         if labels is None:
-            return self.members.withColumn("c", F.col("node"))
-        return self.members.join(labels.select(F.col("node").alias("__node"), "c"), F.col("node") == F.col("__node"), "left").drop("__node").withColumn("c", F.coalesce("c", "node"))
+            sets = self.lists.withColumn("c", F.col("node"))
+        else:
+            known = labels.select(F.col("node").alias("__labelled"), F.col("c").alias("__label"))
+            sets = self.lists.join(known, F.col("node") == F.col("__labelled"), "left").withColumn("c", F.coalesce("__label", "node"))
+        members = sets.select("node", "n", "m", "c", "shingles", F.posexplode(F.arrays_zip("shingles", "places")).alias("at", "member"))
+        before = F.when(F.col("at") <= BEFORE, F.slice("shingles", F.lit(1), F.col("at")))
+        return members.select("member.shingles", "node", "member.places", "n", "m", (F.col("at") + 1).alias("rank"), before.alias("before"), "c").toDF("shingle", "node", "place", "n", "m", "rank", "before", "c")
 
     def linked(self, links: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
         """The labels after links (x, y) between labelled nodes."""
@@ -297,7 +301,7 @@ class Join:
         """(node, c) of the components, for nodes that have a link."""
         labels = None
         for turn in range(ROUNDS):
-            rows = self.space.save(self.labelled(labels), f"rows{turn}")
+            rows = self.space.save(self.labelled(labels).drop("before"), f"rows{turn}")
             counts = rows.groupBy("shingle", "c").count().groupBy("shingle").agg(F.sum("count").alias("sets"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.count("*").alias("labels"))
             lists = self.space.save(counts.where("labels > 1").select(F.col("shingle").alias("list"), ((F.col("sets") * F.col("sets") - F.col("squares")) / 2).alias("pairs")), f"lists{turn}")
             pairs, n_lists = lists.agg(F.sum("pairs"), F.count("*")).first()
