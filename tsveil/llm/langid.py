@@ -1,20 +1,21 @@
 """Operator 3, language identification by cross-parsing.
 
-For each language a suffix automaton holds the distinct words of labelled text. A text's words are parsed greedily
-against it: each phrase is the longest match that begins where the last one ended (a character that the language's text
-lacks is a phrase of its own). A phrase costs a pointer into the language's text, log2 of its length in bits, so bits
-per character estimate the cross entropy; the language of the fewest bits wins. Words are parsed with a space on each
-side and no phrase spans two words, so a word's phrases are counted once per cached word, for all languages at once.
-
-The automata are fitted on a bounded sample of the labelled rows: SAMPLE_ROWS rows of each language in the order of a
-hash of their id, of which each is used that still fits in SAMPLE_CHARS characters; of a language whose texts are all
-longer, the beginning of one. Every label is learned, and all rows are then classified.
+For each language a suffix automaton holds a running labelled text. A document is parsed greedily against it: each
+phrase is the longest match that begins where the last one ended (a character that the language's text lacks is a
+phrase of its own). Phrases run across words. A phrase costs a pointer into the language's text, log2 of its length in
+bits, so bits per character estimate the cross entropy; the language of the fewest bits wins.
+
+Texts are read as their letters in lower case, words apart by one space; a letter is what str.isalpha() says, and marks
+that combine with letters stay. The automata are fitted on a bounded sample of the labelled rows: SAMPLE_ROWS rows of
+each language in the order of a hash of their id, of which each is used that still fits in SAMPLE_CHARS characters; of
+a language whose texts are all longer, the beginning of one. No phrase spans two sampled texts. Every label is learned,
+and all rows are then classified, whole.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,94 +23,118 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tsveil.llm.base import CACHE_WORDS, map_batches
+from tsveil.llm.base import map_batches
 
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 40_000
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
-LANE = 32
+#: Bits a character beyond those of evenly drawn letters with which a text still counts as one of a language.
+SLACK_BITS = 1.0
+#: Between sampled texts; no parsed text has it.
+END = "\n"
 
 
-def words(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return LETTERS.findall(text.lower()) if text else []
+class Letters(dict):
+    """For str.translate: letters and combining marks stay, all else is a space."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = kept = code if c.isalpha() or unicodedata.category(c)[0] == "M" else 32
+        return kept
+
+
+LETTERS = Letters()
+
+
+def running(text: str | None) -> str:
+    """The text's words of letters in lower case, with a space around each; empty without a letter."""
+    found = text.lower().translate(LETTERS).split() if text else []
+    return f" {' '.join(found)} " if any(c.isalpha() for w in found for c in w) else ""
 
 
 class SuffixAutomaton:
-    """All substrings of a text. step[state] maps a character to the next state; 0 is the start."""
+    """All substrings of a text. A state is a map from a character to the next state."""
 
     def __init__(self, text: str):
-        step: list[dict[str, int]] = [{}]
-        link, size, last = [-1], [0], 0
+        self.start: dict[str, dict] = {}
+        self.size = len(text)
+        self.alphabet = len(set(text))
+        states, link, size, last = [self.start], [-1], [0], 0
+        at = {id(self.start): 0}
         for c in text:
-            new = len(step)
-            step.append({})
+            new, made = len(states), {}
+            states.append(made)
+            at[id(made)] = new
             size.append(size[last] + 1)
             link.append(0)
             p = last
-            while p >= 0 and c not in step[p]:
-                step[p][c] = new
+            while p >= 0 and c not in states[p]:
+                states[p][c] = made
                 p = link[p]
             if p >= 0:
-                q = step[p][c]
+                q = at[id(states[p][c])]
                 if size[p] + 1 == size[q]:
                     link[new] = q
                 else:
-                    copy = len(step)
-                    step.append(dict(step[q]))
+                    copy, copied = len(states), dict(states[q])
+                    states.append(copied)
+                    at[id(copied)] = copy
                     size.append(size[p] + 1)
                     link.append(link[q])
-                    while p >= 0 and step[p].get(c) == q:
-                        step[p][c] = copy
+                    while p >= 0 and states[p].get(c) is states[q]:
+                        states[p][c] = copied
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        self.step = step
 
     def phrases(self, text: str) -> int:
         """Phrases of the greedy parse of a text."""
-        step = self.step
-        start, count, state = step[0], 0, 0
+        start, nowhere = self.start, {}
+        state, count = nowhere, 0
         for c in text:
-            to = step[state].get(c)
-            if to is None:
-                count += state != 0
-                to = start.get(c, 0)
-                count += to == 0  # the text lacks the character
-            state = to
-        return count + (state != 0)
+            state = state.get(c)
+            if state is None:
+                # c begins a phrase, which ends with it if the text lacks c
+                count += 1
+                state = start.get(c, nowhere)
+        return count
 
 
-class Classifier(dict):
-    """word -> phrases for every language, LANE bits each, in one number; starts anew when full."""
+class Classifier:
+    """Cross-parses texts against the running text of each language."""
 
     def __init__(self, texts: list[tuple[str, str]]):
         self.languages = [name for name, _ in texts]
         self.automata = [SuffixAutomaton(text) for _, text in texts]
-        self.bits = [math.log2(max(2, len(text))) for _, text in texts]
+        self.bits = [math.log2(max(2, a.size)) for a in self.automata]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        text, out = f" {word} ", 0
-        for a in reversed(self.automata):
-            out = out << LANE | a.phrases(text)
-        self[word] = out
-        return out
+    def parse(self, text: str) -> list[int]:
+        """Phrases of a running text for each language."""
+        return [a.phrases(text) for a in self.automata]
+
+    def costs(self, phrases: list[int]) -> list[float]:
+        return [n * b for n, b in zip(phrases, self.bits, strict=True)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): how far the second language's bits exceed the first's, from 0 to 1; (UNDETERMINED, 0) without letters."""
-        found = words(text)
+        found = running(text)
         if not found or not self.languages:
             return UNDETERMINED, 0.0
         if len(self.languages) == 1:
             return self.languages[0], 1.0
-        total = sum(map(self.__getitem__, found))
-        cost = [(total >> LANE * k & (1 << LANE) - 1) * b for k, b in enumerate(self.bits)]
+        cost = self.costs(self.parse(found))
         first, second = sorted(cost)[:2]
         return self.languages[cost.index(first)], (second - first) / second
 
+    def told(self, text: str | None) -> bool:
+        """Whether the text is in a learned language: it has a letter, and some language's phrases code it with at most
+        SLACK_BITS more bits a character than letters drawn evenly from that language's alphabet need. The phrase that the
+        text's end cuts off isn't counted."""
+        found = running(text)
+        if not found or not self.languages:
+            return bool(found)
+        return any((n - 1) * b <= len(found) * (math.log2(max(2, a.alphabet)) + SLACK_BITS) for n, b, a in zip(self.parse(found), self.bits, self.automata, strict=True))
+
 
 def held_out(key: Column, of: int = 4, fold: int = 2) -> Column:
     """Whether crc32(key as text) mod `of` is `fold`; a null key counts as the empty text."""
@@ -120,23 +145,24 @@ def training_texts(df: DataFrame, text_col: str, lang_col: str, id_col: str, row
     """(language, its text for the automaton) of the bounded sample of df's labelled rows; most frequent language first."""
     own = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).where("__lang is not null and __text is not null")
     known = [r[0] for r in own.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").collect()]
-    order = W.partitionBy("__lang").orderBy(F.col("__n") > chars, "__hash", "__id")
-    sized = own.select("__id", "__lang", F.length("__text").alias("__n"), F.xxhash64("__id").alias("__hash")).where("__n > 0")
-    drawn = sized.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= rows).collect()
+    digest = F.xxhash64("__id", "__text")
+    order = W.partitionBy("__lang").orderBy(F.col("__n") > chars, F.xxhash64("__id"), "__id", "__hash")
+    drawn_from = own.select("__id", "__lang", F.length("__text").alias("__n"), digest.alias("__hash")).where("__n > 0")
+    drawn = drawn_from.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= rows).collect()
     left, chosen = dict.fromkeys(known, chars), []
     for r in sorted(drawn, key=lambda r: (r["__lang"], r["__at"])):
         # a longer text only if nothing fits: its first characters
         n = min(r["__n"], chars)
         if n <= left[r["__lang"]]:
             left[r["__lang"]] -= n
-            chosen.append((r["__id"], r["__lang"]))
-    vocabulary: dict[str, dict[str, None]] = {k: {} for k in known}
+            chosen.append((r["__id"], r["__lang"], r["__hash"]))
+    learned: dict[str, list[str]] = {k: [] for k in known}
     if chosen:
-        picked = F.broadcast(df.sparkSession.createDataFrame(chosen, own.select("__id", "__lang").schema))
-        texts = own.join(picked, ["__id", "__lang"], "left_semi").select("__id", "__lang", F.substring("__text", 1, chars).alias("__text"))
-        for r in texts.orderBy("__id", "__text").limit(2 * rows * len(known)).collect():
-            vocabulary[r["__lang"]].update(dict.fromkeys(words(r["__text"])))
-    return [(k, f" {' '.join(sorted(v))} ") for k, v in vocabulary.items() if v]
+        picked = F.broadcast(df.sparkSession.createDataFrame(chosen, drawn_from.select("__id", "__lang", "__hash").schema))
+        texts = own.withColumn("__hash", digest).join(picked, ["__id", "__lang", "__hash"], "left_semi").dropDuplicates(["__id", "__lang", "__hash"])
+        for r in texts.select("__id", "__lang", F.substring("__text", 1, chars).alias("__text")).orderBy("__id", "__text").collect():
+            learned[r["__lang"]].append(running(r["__text"]))
+    return [(k, END.join(v)) for k, v in learned.items() if any(v)]
 
 
 def identify(df: DataFrame, texts: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,14 +190,17 @@ def identify_held_out(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_identified(df: DataFrame, texts: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns unchanged, whose language can be told: those with a letter."""
+    """The rows of df, all columns unchanged, whose text is in one of the given languages; see Classifier.told().
+
+    A null text or one without a letter goes. With no language given, texts with a letter stay.
+    """
     model = df.sparkSession.sparkContext.broadcast(texts)
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value)
         for b in batches:
-            yield b.filter(pa.array([classifier.predict(t)[0] != UNDETERMINED for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([classifier.told(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     at = df.columns.index(text_col)
     return map_batches(df, run, schema)
