@@ -5,11 +5,12 @@ the sum over all paths of the products of the pieces' weights is the word's marg
 recursion in log space, with no segmentation chosen. Pieces that begin with the word mark end the word before them, so
 these probabilities sum to one over all words.
 
-What the corpus adds: the vocabulary's scores are turned into weights, and one step of expectation maximisation over
-all training words (forward and backward recursion) fits these weights to each class of training documents (their label,
-up to CLASSES; the vocabulary itself never changes). Counted words keep their discounted relative frequency; the mass
-taken off backs off to the corpus-wide frequency and to the lattice. A document's probability is the sum over the classes of
-the class's share times the product over the document's words and its end, so no label of a scored document is used.
+What the corpus adds: the vocabulary's scores are turned into weights, and EM_STEPS steps of expectation maximisation
+over all distinct training words (forward and backward recursion) fit these weights to each class of training documents
+(their label; the vocabulary itself never changes). A counted word is one more piece of the lattice, which spans it
+whole. Its weight is its discounted count plus, by corpus frequency, half of what the discount took off; the other
+half is spread over the paths of vocabulary pieces. A document's probability is the sum over the classes of the class's
+share times the product of these marginals over the document's words and its end, so no label of a scored document is used.
 
 Words are counted and scored once per distinct word, in a table spread over the cluster. The TOP_WORDS most frequent of
 them are sent to all executors (a fixed bound); a document's other words meet the table in one shuffled join.
@@ -32,12 +33,11 @@ from tsveil.llm.langid import held_out
 from tsveil.llm.pieces import MARK, VOCABULARY, read_pieces, zipf_constant
 
 FOLDS, FOLD = 7, 2
-CLASSES = 8
 TOP_WORDS = 150_000
 #: Words of a vectorised step, and distinct words that a counting task holds before it passes them on.
 WORD_BATCH, HELD_WORDS = 40_000, 300_000
-#: A vocabulary of ranks: weight of rank r is 1 / (r + ZIPF_SHIFT), normalised. Prior rows of the piece weights.
-ZIPF_SHIFT, PRIOR_ROWS = 2.7, 1000.0
+#: A vocabulary of ranks: weight of rank r is 1 / (r + ZIPF_SHIFT), normalised. Uses that the prior stands for, and fitting steps.
+ZIPF_SHIFT, PRIOR_ROWS, EM_STEPS = 2.7, 100.0, 2
 #: Share of the weight that covers characters outside the vocabulary, even over 256 byte values.
 UNKNOWN_SHARE = 1e-6
 NO_PATH = -1e300
@@ -155,27 +155,24 @@ def marginals(lattice: Lattice, weights: np.ndarray, words: list[bytes]) -> np.n
     return out
 
 
-def expected(lattice: Lattice, weights: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """(pieces, classes): expected uses of each piece under one set of weights (pieces, 1), for counts (words, classes)."""
-    out = np.zeros((len(weights), counts.shape[1]))
-    for places, matrix in by_length(words):
+def expected(lattice: Lattice, weights: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Expected uses of each piece over all segmentations of the words, by one set of weights (pieces)."""
+    out = np.zeros(len(weights))
+    for _, matrix in by_length(words):
         edges: list = []
-        f = forward(lattice, weights, matrix, edges)[..., 0]
+        f = forward(lattice, weights[:, None], matrix, edges)[..., 0]
         b = np.full(f.shape, NO_PATH)
         b[-1] = 0
-        c = counts[places]
         for s, e, rows, piece, w in reversed(edges):
             down = b[e, rows] + w[:, 0]
             b[s, rows] = np.logaddexp(b[s, rows], down)
             if piece[0] >= 0:
-                share = np.exp(np.minimum(0, f[s, rows] + down - f[-1, rows]))
-                for k in range(c.shape[1]):
-                    out[:, k] += np.bincount(piece, share * c[rows, k], len(out))
+                out += np.bincount(piece, np.exp(np.minimum(0, f[s, rows] + down - f[-1, rows])), len(out))
     return out
 
 
 def fitted_weights(prior: np.ndarray, uses: np.ndarray) -> np.ndarray:
-    """(pieces, classes): uses plus PRIOR_ROWS of the prior, normalised to 1 - UNKNOWN_SHARE in each class; natural logs."""
+    """(pieces, classes): uses plus PRIOR_ROWS by the prior, normalised to 1 - UNKNOWN_SHARE in each class; natural logs."""
     rows = uses + PRIOR_ROWS * np.exp(prior)[:, None]
     return np.log(rows) - np.log(rows.sum(axis=0)) + math.log1p(-UNKNOWN_SHARE)
 
@@ -197,9 +194,9 @@ class Totals:
         return np.log10((count + 1) / (self.tokens + self.distinct + 1))
 
     def word(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        """log10 probability (words, classes) of words by their counts per class and the lattice's natural logs.
+        """log10 marginals (words, classes) of words by their counts per class and the natural logs of their vocabulary paths' sum.
 
-        Off the discounted count, half of the mass goes to the corpus-wide frequency, which sums to one if any word was counted, and half to the lattice.
+        What the discount takes off goes half to the whole words by corpus frequency, which sums to one if any word was counted, and half to the paths.
         """
         n, t = np.array(self.words, float), np.array(self.types, float)
         every = counts.sum(axis=1, keepdims=True) / max(1, sum(self.words))
@@ -221,17 +218,18 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
     """One row per row of df: id_col and the columns of SCHEMA.
 
     Trains on the rows whose id is in none of the held-out folds, of any label; labels are only used to group training
-    rows into classes (null, or beyond the CLASSES - 1 most frequent: one more class). A null or empty text is its end
-    alone. Texts are read whole; repeated rows each count and each get a row; an empty table gives an empty result.
+    rows into classes (null: one more class), and time grows with their number. A null or empty text is its end
+    alone. Scores are rounded to 6 places, beyond which sums depend on their order. Texts are read whole; repeated rows each count and each get a row; an empty table gives an empty result.
     Other columns aren't read.
     """
     spark = df.sparkSession
     space = Workspace(spark, "lm")
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")).alias("class"), held_out(F.col(id_col), FOLDS, FOLD).alias("held"))
-    names = [r[0] for r in own.where("not held and class is not null").groupBy("class").count().orderBy(F.desc("count"), "class").limit(CLASSES - 1).collect()]
+    names = [r[0] for r in own.where("not held and class is not null").select("class").distinct().orderBy("class").collect()]
     kind = F.lit(len(names))
-    for k, name in enumerate(names):
-        kind = F.when(F.col("class") == name, F.lit(k)).otherwise(kind)
+    if names:
+        known = F.create_map(*(x for k, name in enumerate(names) for x in (F.lit(name), F.lit(k))))
+        kind = F.coalesce(F.element_at(known, F.col("class")), kind)
     own = own.select("id", "text", "held", F.when(F.col("held"), F.lit(-1)).otherwise(kind).cast("int").alias("kind"))
     n_classes = len(names) + 1
     columns = [f"n{k}" for k in range(n_classes)]
@@ -263,7 +261,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
     totals = Totals([docs.get(k, 0) for k in range(n_classes)], sums[:n_classes], sums[n_classes : 2 * n_classes], *sums[2 * n_classes :])
 
     pieces, prior = prior_weights(read_pieces(vocabulary) if isinstance(vocabulary, str) else vocabulary)
-    sent = spark.sparkContext.broadcast((pieces, prior))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
         words, counts = [], []
@@ -277,17 +274,20 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
             yield words, np.concatenate(counts)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, prior = sent.value
+        pieces, weights = model.value
         lattice, uses = Lattice(pieces), np.zeros((len(pieces), n_classes))
         for words, counts in gathered(batches):
-            uses += expected(lattice, prior[:, None], words, counts.astype(float))
+            for k in range(n_classes):
+                uses[:, k] += expected(lattice, weights[:, k], [words[i] for i in np.flatnonzero(counts[:, k])])
         at = np.argwhere(uses > 0)
         yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(uses[at[:, 0], at[:, 1]])], names=["piece", "kind", "uses"])
 
-    uses = np.zeros((len(pieces), n_classes))
-    fitted = table.where(every > 0).transform(map_batches, fit, "piece int, kind int, uses double").groupBy("piece", "kind").agg(F.sum("uses").alias("uses")).toArrow()
-    uses[fitted["piece"].to_numpy(), fitted["kind"].to_numpy()] = fitted["uses"].to_numpy()
-    model = spark.sparkContext.broadcast((pieces, fitted_weights(prior, uses)))
+    model = spark.sparkContext.broadcast((pieces, np.repeat(prior[:, None], n_classes, axis=1)))
+    for _ in range(EM_STEPS):
+        uses = np.zeros((len(pieces), n_classes))
+        found = table.where(every > 0).transform(map_batches, fit, "piece int, kind int, uses double").groupBy("piece", "kind").agg(F.sum("uses").alias("uses")).toArrow()
+        uses[found["piece"].to_numpy(), found["kind"].to_numpy()] = found["uses"].to_numpy()
+        model = spark.sparkContext.broadcast((pieces, fitted_weights(prior, uses)))
     logs = [f"p{k}" for k in range(n_classes)]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,6 +350,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
         "n_tokens",
         (F.round("s0").cast("long") + known_end).alias("n_known"),
         F.lit(totals.tokens).cast("long").alias("train_tokens"),
-        (F.col("s1") + end_base).alias("base_score"),
-        (best + F.log10(sum((F.pow(F.lit(10.0), e - best) for e in each), F.lit(0.0)))).alias("score"),
+        F.round(F.col("s1") + end_base, 6).alias("base_score"),
+        F.round(best + F.log10(sum((F.pow(F.lit(10.0), e - best) for e in each), F.lit(0.0))), 6).alias("score"),
     )
