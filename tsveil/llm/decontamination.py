@@ -5,14 +5,15 @@ A shingle is SHINGLE words (an item of fewer words is one shingle of all of them
 hold it), 1 holding it at least. A document contains an item if one of its windows of the item's number of words has a
 weighted Jaccard similarity of at least SIMILARITY with it.
 
-1. Windows. A window that similar shares shingles with the item, and all of them together weigh SIMILARITY of the item at
-   least; so do then those of the whole document. Documents are read once, their shingles meet those of the benchmark,
-   and only (document, item) pairs of that weight go on: every window of the item's size that holds a shared shingle is
-   weighed, wherever the item has that shingle, and those of that weight are fingerprinted. Nothing is lost.
-2. Fingerprints. A bit of a SimHash is the sign of the weighted votes of all of a window's (or item's) shingles.
+1. Documents. What a similar window shares with the item weighs SIMILARITY of the item at least; so does then what the
+   whole document shares. An item's lightest shingles, together below that, can be left out at first: documents meet
+   items on the others, which are the rarest, so a line that many items share pairs nothing off. Nothing is lost.
+2. Windows. In documents of that weight, every window of the item's number of words that holds one of its shingles is
+   fingerprinted; all others have similarity 0. A bit of a SimHash is the sign of the weighted votes of all shingles.
 3. Multi-index: fingerprints are cut into BLOCKS blocks. Within RADIUS bits, at least one block differs by at most
-   RADIUS / BLOCKS bits, so items are listed under each block and all its neighbours that near, and every pair within the
-   radius meets. The radius is over three standard deviations beyond what the least similarity makes likely.
+   RADIUS / BLOCKS bits, so items are listed under each block and all its neighbours that near, and every window meets
+   all items of its size within the radius. The radius is over three standard deviations beyond what the least
+   similarity makes likely.
 4. Verification: the exact weighted similarity of all pairs within the radius.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tsveil.llm.base import Workspace, carried, keyed, small
@@ -54,13 +56,19 @@ def every_gram(df: DataFrame, words: str, sizes: list[int]) -> DataFrame:
     return out
 
 
+def gram_hashes(words: str, size: int) -> Column:
+    """The hashes that with_grams() gives, as an array in the order of places."""
+    at = F.sequence(F.lit(1), F.size(words) - (size - 1))
+    return F.transform(at, lambda i: F.xxhash64(*(F.element_at(words, i + j) for j in range(size)), F.lit(size)))
+
+
 def fingerprints(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, print, weight) of rows (keys, gram, w), one per distinct gram."""
     votes = [F.sum(F.when(F.shiftrightunsigned("gram", b).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"v{b}") for b in range(BITS)]
     voted = rows.groupBy(*keys).agg(*votes, F.sum("w").alias("weight"))
     bits = F.lit(0).cast("bigint")
     for b in range(BITS):
-        bits = bits.bitwiseOR(F.when(F.col(f"v{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        bits = bits.bitwiseOR(F.when(F.round(f"v{b}", 6) > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return voted.select(*keys, bits.alias("print"), "weight")
 
 
@@ -80,51 +88,63 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = space.save(items.groupBy("words").agg(F.min("item").alias("item")).select("item", "words", F.size("words").alias("n")), "items")
     n_items = items.count()
     short = [r[0] for r in items.where(F.col("n") < SHINGLE).select("n").distinct().orderBy("n").collect()]
-    parts = [with_grams(items.where(F.col("n") >= SHINGLE), "words", SHINGLE), *(with_grams(items.where(F.col("n") == size), "words", size) for size in short)]
-    placed = parts[0]
-    for part in parts[1:]:
-        placed = placed.unionByName(part)
-    placed = space.save(placed.withColumnRenamed("place", "offset"), "placed")
-    weights = placed.groupBy("gram").agg(F.log(1 + F.lit(float(n_items)) / F.countDistinct("item")).alias("w"))
-    weights = space.save(weights, "weights")
-    item_grams = space.save(placed.select("item", "n", "gram").distinct().join(weights, "gram"), "item_grams")
-    item_prints = space.save(fingerprints(item_grams, "item", "n").withColumnRenamed("weight", "item_weight"), "item_prints")
-
-    # 1: windows by the weight of their shared shingles
-    doc_grams = every_gram(own.select("id", "key", words_of(F.col("text")).alias("words")), "words", [SHINGLE, *short])
-    listed = placed.groupBy("gram").agg(F.collect_set(F.struct("item", "n")).alias("at")).join(weights, "gram").select(F.col("gram").alias("__gram"), "at", "w")
-    listed = space.save(listed, "listed")
-    met = doc_grams.join(keyed(listed), F.col("gram") == F.col("__gram")).select("key", "place", "gram", "w", F.explode("at").alias("a"))
-    hits = space.save(met.select("key", "gram", "w", "a.item", "a.n", "place").distinct(), "hits")
-    heavy = F.round(F.col("shared") / F.col("item_weight"), 9) >= SIMILARITY
-    shared = hits.select("key", "item", "gram", "w").distinct().groupBy("key", "item").agg(F.sum("w").alias("shared"))
-    enough = space.save(shared.join(item_prints.select("item", "item_weight"), "item").where(heavy).select("key", "item", "item_weight"), "enough")
-    held = hits.join(small(enough, enough.count()), ["key", "item"])
-    first = F.greatest(F.col("place") - F.col("n") + F.least("n", F.lit(SHINGLE)), F.lit(0))
-    held = held.select("key", "item", "item_weight", "n", "gram", "w", F.explode(F.sequence(first, F.col("place"))).alias("start")).distinct()
-    windows = held.groupBy("key", "item", "item_weight", "n", "start").agg(F.sum("w").alias("shared")).where(heavy)
-    windows = space.save(windows.select("key", "start", "n").distinct(), "windows")
-
-    # 2: fingerprints of those windows
-    keys = space.save(windows.select("key").distinct(), "keys")
-    texts = own.join(small(keys, keys.count()), "key", "left_semi").dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words"))
-    last = F.greatest(F.size("words") - F.col("n"), F.lit(0))
-    cut = texts.join(windows, "key").where(F.col("start") <= last)
-    cut = cut.select("key", "n", "start", F.slice(F.col("words"), F.col("start") + 1, F.col("n")).alias("words"))
-    grams = with_grams(cut.where(F.col("n") >= SHINGLE), "words", SHINGLE)
+    grams = with_grams(items.where(F.col("n") >= SHINGLE), "words", SHINGLE)
     for size in short:
-        grams = grams.unionByName(with_grams(cut.where(F.col("n") == size), "words", size))
+        grams = grams.unionByName(with_grams(items.where(F.col("n") == size), "words", size))
+    grams = space.save(grams.select("item", "n", "gram").distinct(), "item-words")
+    weights = space.save(grams.groupBy("gram").agg(F.log(1 + F.lit(float(n_items)) / F.count("*")).alias("w")), "weights")
+    item_grams = space.save(grams.join(keyed(weights), "gram"), "item-grams")
+    n_grams = item_grams.count()
+    item_prints = space.save(fingerprints(item_grams, "item", "n").withColumnRenamed("weight", "item_weight"), "item-prints")
+
+    # 1: documents that share enough of an item; rest: the weight of a shingle and of all more frequent ones
+    rest = F.sum("w").over(W.partitionBy("item").orderBy("w", "gram"))
+    heads = item_grams.withColumn("rest", rest).join(item_prints.select("item", "item_weight"), "item")
+    heads = space.save(heads.where(F.col("rest") >= SIMILARITY * F.col("item_weight") - 1e-6).select("gram", "item"), "heads")
+    doc_grams = every_gram(own.select("key", words_of(F.col("text")).alias("words")), "words", [SHINGLE, *short])
+    known = weights.select(F.col("gram").alias("__gram"))
+    hits = space.save(doc_grams.join(keyed(known), F.col("gram") == F.col("__gram")).select("key", "gram", "place").distinct(), "hits")
+    pairs = hits.select("key", "gram").distinct().join(small(heads, n_grams), "gram").select("key", "item").distinct()
+    matched = space.save(pairs.join(small(item_grams, n_grams), "item").join(hits, ["key", "gram"]), "matched")
+    shared = matched.select("key", "item", "gram", "w").distinct().groupBy("key", "item").agg(F.sum("w").alias("shared"))
+    heavy = F.round(F.col("shared") / F.col("item_weight"), 9) >= SIMILARITY
+    enough = space.save(shared.join(item_prints.select("item", "item_weight"), "item").where(heavy).select("key", "item"), "enough")
+
+    # 2: fingerprints of all their windows with a shared shingle
+    gram_words = F.least("n", F.lit(SHINGLE))
+    first = F.greatest(F.col("place") - F.col("n") + gram_words, F.lit(0))
+    held = matched.join(small(enough, enough.count()), ["key", "item"])
+    starts = held.select("key", "n", F.explode(F.sequence(first, F.col("place"))).alias("start"))
+    windows = space.save(starts.groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows")), "windows")
+    texts = own.join(small(windows.select("key"), windows.count()), "key", "left_semi").dropDuplicates(["key"])
+    texts = space.save(texts.select("key", words_of(F.col("text")).alias("words")), "texts")
     unseen = F.log(1 + F.lit(float(n_items)))
-    grams = space.save(grams.select("key", "n", "start", "gram").distinct().join(weights, "gram", "left").withColumn("w", F.coalesce("w", unseen)), "grams")
-    prints = fingerprints(grams, "key", "n", "start")
 
-    # 3: all pairs within the radius
-    two = blocks(item_prints.select(F.col("item"), F.col("n").alias("item_n"), "print", "item_weight"), RADIUS // BLOCKS).withColumnRenamed("print", "item_print")
-    near = blocks(prints, 0).join(two, ["block", "value"]).where((F.col("n") == F.col("item_n")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS))
-    near = near.select("key", "n", "start", "weight", "item", "item_weight").distinct()
+    def grams_of(windows: DataFrame) -> DataFrame:
+        """(key, n, start, gram, w): the distinct shingles of windows (key, windows: an array of n and start)."""
+        met = texts.join(windows.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key"))
+        out = None
+        for size in [SHINGLE, *short]:
+            last = F.greatest(F.size("words") - F.col("x.n"), F.lit(0))
+            own_size = F.col("x.n") >= size if size == SHINGLE else F.col("x.n") == size
+            each = met.where(F.size("words") >= size).select("key", "words", gram_hashes("words", size).alias("hashes"), F.explode("windows").alias("x")).where(own_size & (F.col("x.start") <= last))
+            cut = F.array_distinct(F.slice("hashes", F.col("x.start") + 1, F.col("x.n") - (size - 1)))
+            rows = each.select("key", "x.n", "x.start", F.explode(cut).alias("gram"))
+            out = rows if out is None else out.unionByName(rows)
+        known = weights.select(F.col("gram").alias("__gram"), "w")
+        return out.join(keyed(known), F.col("gram") == F.col("__gram"), "left").select("key", "n", "start", "gram", F.coalesce("w", unseen).alias("w"))
+
+    prints = space.save(fingerprints(grams_of(windows), "key", "n", "start"), "prints")
+
+    # 3: all windows and items of a size within the radius
+    listed = blocks(item_prints.select("item", "n", "print", "item_weight"), RADIUS // BLOCKS).withColumnRenamed("print", "item_print")
+    listed = space.save(listed, "listed")
+    near = blocks(prints, 0).join(small(listed, listed.count()), ["block", "value", "n"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = space.save(near.select("key", "n", "start", "weight", "item", "item_weight").distinct(), "near")
 
     # 4: exact similarity
-    common = near.join(grams, ["key", "n", "start"]).join(item_grams.select("item", F.col("gram").alias("__gram")), ["item"]).where(F.col("gram") == F.col("__gram"))
+    kept = grams_of(near.groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows")))
+    common = near.join(kept, ["key", "n", "start"]).join(small(item_grams.select("item", "gram"), n_grams), ["item", "gram"])
     total = common.groupBy("key", "n", "start", "item", "weight", "item_weight").agg(F.sum("w").alias("shared"))
     similarity = F.round(F.col("shared") / (F.col("weight") + F.col("item_weight") - F.col("shared")), 9)
     best = total.withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY)
@@ -154,7 +174,7 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def matches_sql(source: str = "documents", benchmark: str = "benchmark") -> str:
-    """DuckDB SQL for matches(): all windows that a shared shingle places are compared exactly, without fingerprints."""
+    """DuckDB SQL for matches(): all windows that hold a shingle of the item are compared exactly, without fingerprints."""
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     gram = f"array_to_string(words[p:p + g - 1], ' ')"
     return f"""
@@ -172,9 +192,10 @@ WITH items AS (
   SELECT doc_id, g, p - 1 AS place, {gram} AS gram
   FROM (SELECT doc_id, words, g, unnest(range(1, size - g + 2)) AS p FROM docs, (SELECT DISTINCT g FROM items))
 ), starts AS (
-  SELECT DISTINCT d.doc_id, p.item, p.n, p.g, d.place - p.off AS start FROM doc_grams d JOIN placed p USING (g, gram)
+  SELECT DISTINCT doc_id, item, n, g, unnest(range(greatest(place - n + g, 0), place + 1)) AS start
+  FROM (SELECT DISTINCT d.doc_id, p.item, p.n, p.g, d.place FROM doc_grams d JOIN placed p USING (g, gram))
 ), wins AS (
-  SELECT DISTINCT s.doc_id, s.item, s.n, s.g, greatest(least(s.start, greatest(d.size - s.n, 0)), 0) AS start FROM starts s JOIN docs d USING (doc_id)
+  SELECT s.* FROM starts s JOIN docs d USING (doc_id) WHERE s.start <= greatest(d.size - s.n, 0)
 ), win_grams AS (
   SELECT DISTINCT w.doc_id, w.item, w.n, w.start, w.g, d.gram FROM wins w JOIN doc_grams d
   ON d.doc_id = w.doc_id AND d.g = w.g AND d.place >= w.start AND d.place <= w.start + w.n - w.g
