@@ -16,19 +16,20 @@ from tsveil.workspace import BROADCAST_ROWS, Workspace, small
 
 __all__ = ["BROADCAST_ROWS", "Workspace", "small"]
 
-#: Rows of an Arrow batch that a Python stage sees at once; texts may be long, so it is far below Spark's default.
-BATCH_ROWS = 1024
-#: Rows up to which a side of one number per row is broadcast; above, it is built per partition after a shuffle.
+#: Rows and bytes of an Arrow batch that a Python stage sees at once, far below Spark's defaults; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+#: Rows up to which a side of a few numbers per row is broadcast; above, both sides are shuffled.
 BROADCAST_KEYS = 1_500_000
 #: Entries after which a worker's cache of words starts anew.
 CACHE_WORDS = 200_000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers Spark's rows per Arrow batch to BATCH_ROWS where the session has more."""
+    """Lowers Spark's rows and bytes per Arrow batch to BATCH_ROWS, where the session has more, and BATCH_BYTES."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, per_task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of a bounded number of rows; a task's memory goes back to the system at its end, as workers are used again."""
+    """mapInArrow with batches of bounded rows and bytes; a task's memory goes back to the system at its end, as workers are used again."""
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +158,8 @@ def signed(h: np.ndarray) -> pa.Array:
 
 
 def keyed(table: DataFrame) -> DataFrame:
-    """A saved table of unique numbers, for a join: broadcast if it is small, else with a hint to build its side per partition."""
-    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table.hint("shuffle_hash")
+    """A saved table of unique numbers, a few a row, for a join: broadcast if its counted rows are few, else as it is, for a shuffled join that can spill."""
+    return small(table, table.count(), BROADCAST_KEYS)
 
 
 def carried(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

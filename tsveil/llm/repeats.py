@@ -145,10 +145,10 @@ def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
     contexts = contexts.where("not again")
     earliest = contexts.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("anchor").alias("anchor"))
     several = contexts.select("anchor", "a").groupBy("anchor").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select(F.col("anchor").alias("__anchor"), F.lit(True).alias("several"))
-    ranked = earliest.join(several.hint("shuffle_hash"), F.col("anchor") == F.col("__anchor"), "left").where("n > 1 or several")
+    ranked = earliest.join(several, F.col("anchor") == F.col("__anchor"), "left").where("n > 1 or several")
     ranked = ranked.select(F.col("a").alias("__a"), F.col("b").alias("__b"), "least", F.coalesce("several", F.lit(False)).alias("several"))
     later = F.col("least").isNotNull() & ~F.col("id").eqNullSafe(F.col("least"))
-    placed = contexts.join(ranked.hint("shuffle_hash"), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("key", "id", "run", later.alias("later"), "several").where("later or several")
+    placed = contexts.join(ranked, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("key", "id", "run", later.alias("later"), "several").where("later or several")
     placed = space.save(placed, "placed")
     singles = space.save(placed.where("not later").groupBy("key").agg(F.collect_set("run").alias("runs")).withColumnRenamed("key", "__key"), "singles")
 
@@ -175,7 +175,7 @@ def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
     seeded = sources.join(few(singles, "runs"), F.col("key") == F.col("__key")).select("id", "key", "text", "runs")
     windows = space.save(map_batches(seeded, windows_of, f"a long, b long, id {id_kind}, key long, run long, again boolean"), "windows")
     least = windows.where("not again").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").select(F.col("a").alias("__a"), F.col("b").alias("__b"), "least")
-    repeated = windows.where("not again").join(least.hint("shuffle_hash"), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).where(later).select("key", "id", "run")
+    repeated = windows.where("not again").join(least, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).where(later).select("key", "id", "run")
     every = own_again.unionByName(placed.where("later").select("key", "id", "run")).unionByName(windows.where("again").select("key", "id", "run")).unionByName(repeated)
     runs = space.save(every.groupBy("key", "id").agg(F.collect_set("run").alias("runs")).select(F.col("key").alias("__key"), F.col("id").alias("__id"), "runs"), "runs")
     space.drop("contexts", "placed", "singles", "windows")
