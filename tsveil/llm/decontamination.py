@@ -19,6 +19,7 @@ weighted Jaccard similarity of at least SIMILARITY with it.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 20
 WIDTH = BITS // BLOCKS
+#: Votes are whole numbers of 1 / SCALE; the lowest bits of both halves of 64. A half holds the votes of over a million shingles.
+SCALE, HALVES = 64, (1 << 32) + 1
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -63,12 +66,18 @@ def gram_hashes(words: str, size: int) -> Column:
 
 
 def fingerprints(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, print, weight) of rows (keys, gram, w), one per distinct gram."""
-    votes = [F.sum(F.when(F.shiftrightunsigned("gram", b).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w"))).alias(f"v{b}") for b in range(BITS)]
-    voted = rows.groupBy(*keys).agg(*votes, F.sum("w").alias("weight"))
-    bits = F.lit(0).cast("bigint")
+    """(keys, print, weight) of rows (keys, gram, w), one per distinct gram.
+
+    A bit is set if the grams that have it weigh over half of all, in whole numbers of 1 / SCALE. The weights of bits b and b + 32
+    are added up in the halves of one number.
+    """
+    part = F.round(F.col("w") * SCALE).cast("bigint")
+    both = [F.sum(F.shiftrightunsigned("gram", b).bitwiseAND(F.lit(HALVES)) * F.col("part")).alias(f"v{b}") for b in range(BITS // 2)]
+    voted = rows.withColumn("part", part).groupBy(*keys).agg(*both, F.sum("part").alias("parts"), F.sum("w").alias("weight"))
+    zero, bits = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for b in range(BITS):
-        bits = bits.bitwiseOR(F.when(F.round(f"v{b}", 6) > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        votes = F.shiftrightunsigned(f"v{b % 32}", 32) if b >= 32 else F.col(f"v{b}").bitwiseAND(F.lit((1 << 32) - 1))
+        bits = bits.bitwiseOR(F.when(2 * votes > F.col("parts"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")).otherwise(zero))
     return voted.select(*keys, bits.alias("print"), "weight")
 
 
@@ -117,24 +126,33 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     starts = held.select("key", "n", F.explode(F.sequence(first, F.col("place"))).alias("start"))
     windows = space.save(starts.groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows")), "windows")
     texts = own.join(small(windows.select("key"), windows.count()), "key", "left_semi").dropDuplicates(["key"])
-    texts = space.save(texts.select("key", words_of(F.col("text")).alias("words")), "texts")
+    sizes = [SHINGLE, *short]
+    worded = texts.select("key", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    hashed = [F.when(F.size("words") >= size, gram_hashes("words", size)).otherwise(F.array().cast("array<bigint>")).alias(f"h{size}") for size in sizes]
+    texts = space.save(worded.select("key", F.size("words").alias("size"), *hashed), "texts")
     unseen = F.log(1 + F.lit(float(n_items)))
 
-    def grams_of(windows: DataFrame) -> DataFrame:
-        """(key, n, start, gram, w): the distinct shingles of windows (key, windows: an array of n and start)."""
+    def cut(windows: DataFrame) -> DataFrame:
+        """(key, n, start, grams: their distinct shingles) of windows (key, windows: an array of n and start)."""
         met = texts.join(windows.withColumnRenamed("key", "__key"), F.col("key") == F.col("__key"))
-        out = None
-        for size in [SHINGLE, *short]:
-            last = F.greatest(F.size("words") - F.col("x.n"), F.lit(0))
-            own_size = F.col("x.n") >= size if size == SHINGLE else F.col("x.n") == size
-            each = met.where(F.size("words") >= size).select("key", "words", gram_hashes("words", size).alias("hashes"), F.explode("windows").alias("x")).where(own_size & (F.col("x.start") <= last))
-            cut = F.array_distinct(F.slice("hashes", F.col("x.start") + 1, F.col("x.n") - (size - 1)))
-            rows = each.select("key", "x.n", "x.start", F.explode(cut).alias("gram"))
-            out = rows if out is None else out.unionByName(rows)
-        known = weights.select(F.col("gram").alias("__gram"), "w")
-        return out.join(keyed(known), F.col("gram") == F.col("__gram"), "left").select("key", "n", "start", "gram", F.coalesce("w", unseen).alias("w"))
-
-    prints = space.save(fingerprints(grams_of(windows), "key", "n", "start"), "prints")
+        parts = [cut_size(met, size) for size in sizes]
+        return reduce(DataFrame.unionByName, parts)
+
+    def cut_size(met: DataFrame, size: int) -> DataFrame:
+        def own(x: Column) -> Column:
+            inside = x["start"] <= F.greatest(F.col("size") - x["n"], F.lit(0))
+            return inside & (F.col("size") >= size) & (x["n"] >= size if size == SHINGLE else x["n"] == size)
+
+        def grams(x: Column) -> Column:
+            run = F.slice(f"h{size}", x["start"] + 1, x["n"] - (size - 1))
+            return F.struct(x["n"].alias("n"), x["start"].alias("start"), F.array_distinct(run).alias("grams"))
+
+        return met.select("key", F.explode(F.transform(F.filter("windows", own), grams)).alias("x")).select("key", "x.*")
+
+    known = weights.select(F.col("gram").alias("__gram"), "w")
+    votes = cut(windows).select("key", "n", "start", F.explode("grams").alias("gram")).join(keyed(known), F.col("gram") == F.col("__gram"), "left")
+    votes = votes.select("key", "n", "start", "gram", F.coalesce("w", unseen).alias("w"))
+    prints = space.save(fingerprints(votes, "key", "n", "start"), "prints")
 
     # 3: all windows and items of a size within the radius
     listed = blocks(item_prints.select("item", "n", "print", "item_weight"), RADIUS // BLOCKS).withColumnRenamed("print", "item_print")
@@ -143,13 +161,16 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     near = space.save(near.select("key", "n", "start", "weight", "item", "item_weight").distinct(), "near")
 
     # 4: exact similarity
-    kept = grams_of(near.groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows")))
-    common = near.join(kept, ["key", "n", "start"]).join(small(item_grams.select("item", "gram"), n_grams), ["item", "gram"])
-    total = common.groupBy("key", "n", "start", "item", "weight", "item_weight").agg(F.sum("w").alias("shared"))
+    kept = cut(near.groupBy("key").agg(F.collect_set(F.struct("n", "start")).alias("windows")))
+    lists = item_grams.groupBy("item").agg(F.collect_list(F.struct("gram", "w")).alias("of_item"))
+    common = F.filter("of_item", lambda x: F.array_contains("grams", x["gram"]))
+    shared = F.aggregate(common, F.lit(0.0), lambda total, x: total + x["w"])
+    total = near.join(kept, ["key", "n", "start"]).join(small(lists, n_grams), "item").select("key", "n", "start", "item", "weight", "item_weight", shared.alias("shared"))
     similarity = F.round(F.col("shared") / (F.col("weight") + F.col("item_weight") - F.col("shared")), 9)
     best = total.withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY)
     best = best.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("top"))
     found = space.save(best.select("key", "item", "top.similarity", (-F.col("top.back")).alias("start"), "top.n"), "found")
+    space.drop("items", "item-words", "weights", "item-grams", "item-prints", "heads", "hits", "matched", "enough", "windows", "texts", "prints", "listed", "near")
     return own, found
 
 
