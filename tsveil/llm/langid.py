@@ -18,6 +18,7 @@ import math
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,7 +30,9 @@ SAMPLE_ROWS = 200
 SAMPLE_CHARS = 40_000
 UNDETERMINED = "und"
 #: Bits a character beyond those of evenly drawn letters with which a text still counts as one of a language.
-SLACK_BITS = 1.0
+SLACK_BITS = 2.5
+#: Cells up to which an automaton is also a table; characters that texts are stepped through together, and least number of such texts.
+TABLE_CELLS, STRETCH, TOGETHER = 4_000_000, 256, 64
 #: Between sampled texts; no parsed text has it.
 END = "\n"
 
@@ -53,25 +56,25 @@ def running(text: str | None) -> str:
 
 
 class SuffixAutomaton:
-    """All substrings of a text. A state is a map from a character to the next state."""
+    """All substrings of a text. A state is a map from a character to the next state; states[0] is nowhere, states[1] the start."""
 
     def __init__(self, text: str):
-        self.start: dict[str, dict] = {}
+        start: dict[str, dict] = {}
         self.size = len(text)
-        self.alphabet = len(set(text))
-        states, link, size, last = [self.start], [-1], [0], 0
-        at = {id(self.start): 0}
+        self.states = states = [{}, start]
+        link, size, last = [0, 0], [0, 0], 1
+        at = {id(start): 1}
         for c in text:
             new, made = len(states), {}
             states.append(made)
             at[id(made)] = new
             size.append(size[last] + 1)
-            link.append(0)
+            link.append(1)
             p = last
-            while p >= 0 and c not in states[p]:
+            while p and c not in states[p]:
                 states[p][c] = made
                 p = link[p]
-            if p >= 0:
+            if p:
                 q = at[id(states[p][c])]
                 if size[p] + 1 == size[q]:
                     link[new] = q
@@ -81,24 +84,64 @@ class SuffixAutomaton:
                     at[id(copied)] = copy
                     size.append(size[p] + 1)
                     link.append(link[q])
-                    while p >= 0 and states[p].get(c) is states[q]:
+                    while p and states[p].get(c) is states[q]:
                         states[p][c] = copied
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-
-    def phrases(self, text: str) -> int:
-        """Phrases of the greedy parse of a text."""
-        start, nowhere = self.start, {}
-        state, count = nowhere, 0
+        letters = sorted(start)
+        self.alphabet = len(letters)
+        # the same as a table, by state and character: 0 is no step, and no character of the text
+        self.codes = np.zeros(0x110000, np.uint16 if len(letters) < 1 << 16 else np.int32)
+        self.codes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.table = None
+        if len(states) * (len(letters) + 1) <= TABLE_CELLS:
+            number = {c: k for k, c in enumerate(letters, 1)}
+            self.table = np.zeros((len(states), len(letters) + 1), np.int32)
+            for k, steps in enumerate(states):
+                for c, to in steps.items():
+                    self.table[k, number[c]] = at[id(to)]
+
+    def phrases(self, text: str, state: int = 0) -> int:
+        """Phrases of the greedy parse of a text that begin in it, from a state."""
+        start, nowhere, now, count = self.states[1], self.states[0], self.states[state], 0
         for c in text:
-            state = state.get(c)
-            if state is None:
+            now = now.get(c)
+            if now is None:
                 # c begins a phrase, which ends with it if the text lacks c
                 count += 1
-                state = start.get(c, nowhere)
+                now = start.get(c, nowhere)
         return count
 
+    def phrases_of(self, texts: list[str]) -> np.ndarray:
+        """phrases() of each text: all texts at once, one character of each a step, as long as TOGETHER texts go on."""
+        if self.table is None:
+            return np.array([self.phrases(t) for t in texts], np.int64)
+        lengths = np.array([len(t) for t in texts])
+        order = np.argsort(-lengths, kind="stable")
+        sorted_lengths, points = lengths[order], [np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32) for i in order]
+        counts, states, table, first = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), self.table.reshape(-1), self.table[1]
+        width, p = self.table.shape[1], 0
+        while (active := int(np.searchsorted(-sorted_lengths, -p, "left"))) >= TOGETHER:
+            ends = np.minimum(sorted_lengths[:active] - p, STRETCH)
+            chars = np.zeros((active, STRETCH), np.uint32)
+            for k in range(active):
+                chars[k, : ends[k]] = points[k][p : p + ends[k]]
+            codes = np.ascontiguousarray(self.codes[chars].T).astype(np.int64)
+            for j in range(int(ends[0])):
+                n = int(np.searchsorted(-ends, -j, "left"))
+                c = codes[j, :n]
+                to = table[states[:n] * width + c]
+                begun = to == 0
+                counts[:n] += begun
+                states[:n] = np.where(begun, first[c], to)
+            p += STRETCH
+        for k in range(active):
+            counts[k] += self.phrases(texts[order[k]][p:], int(states[k]))
+        out = np.empty(len(texts), np.int64)
+        out[order] = counts
+        return out
+
 
 class Classifier:
     """Cross-parses texts against the running text of each language."""
@@ -108,32 +151,33 @@ class Classifier:
         self.automata = [SuffixAutomaton(text) for _, text in texts]
         self.bits = [math.log2(max(2, a.size)) for a in self.automata]
 
-    def parse(self, text: str) -> list[int]:
-        """Phrases of a running text for each language."""
-        return [a.phrases(text) for a in self.automata]
-
-    def costs(self, phrases: list[int]) -> list[float]:
-        return [n * b for n, b in zip(phrases, self.bits, strict=True)]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): how far the second language's bits exceed the first's, from 0 to 1; (UNDETERMINED, 0) without letters."""
-        found = running(text)
-        if not found or not self.languages:
-            return UNDETERMINED, 0.0
-        if len(self.languages) == 1:
-            return self.languages[0], 1.0
-        cost = self.costs(self.parse(found))
-        first, second = sorted(cost)[:2]
-        return self.languages[cost.index(first)], (second - first) / second
-
-    def told(self, text: str | None) -> bool:
-        """Whether the text is in a learned language: it has a letter, and some language's phrases code it with at most
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text: how far the second language's bits exceed the first's, from 0 to 1; (UNDETERMINED, 0) without letters."""
+        found = [running(t) for t in texts]
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        at = [i for i, x in enumerate(found) if x]
+        if not at or not self.languages:
+            return out
+        parsed = [found[i] for i in at]
+        costs = np.stack([a.phrases_of(parsed) * b for a, b in zip(self.automata, self.bits, strict=True)], axis=1)
+        for i, cost in zip(at, costs.tolist(), strict=True):
+            first, *more = sorted(cost)
+            out[i] = self.languages[cost.index(first)], (more[0] - first) / more[0] if more else 1.0
+        return out
+
+    def told(self, texts: list[str | None]) -> list[bool]:
+        """Whether each text is in a learned language: it has a letter, and some language's phrases code it with at most
         SLACK_BITS more bits a character than letters drawn evenly from that language's alphabet need. The phrase that the
-        text's end cuts off isn't counted."""
-        found = running(text)
-        if not found or not self.languages:
-            return bool(found)
-        return any((n - 1) * b <= len(found) * (math.log2(max(2, a.alphabet)) + SLACK_BITS) for n, b, a in zip(self.parse(found), self.bits, self.automata, strict=True))
+        text's end cuts off isn't counted. A text is parsed until a language tells it."""
+        found = [running(t) for t in texts]
+        out = [bool(x) and not self.languages for x in found]
+        left = [i for i, x in enumerate(found) if x]
+        for a, b in zip(self.automata, self.bits, strict=True):
+            phrases = a.phrases_of([found[i] for i in left]) if left else []
+            for i, n in zip(left, phrases, strict=True):
+                out[i] = bool((n - 1) * b <= len(found[i]) * (math.log2(max(2, a.alphabet)) + SLACK_BITS))
+            left = [i for i in left if not out[i]]
+        return out
 
 
 def held_out(key: Column, of: int = 4, fold: int = 2) -> Column:
@@ -177,7 +221,7 @@ def identify(df: DataFrame, texts: list[tuple[str, str]], id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value)
         for b in batches:
-            found = [classifier.predict(t) for t in b.column(1).to_pylist()]
+            found = classifier.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return map_batches(df.select(id_col, text_col), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, lang_pred string, score double")
@@ -200,7 +244,7 @@ def keep_identified(df: DataFrame, texts: list[tuple[str, str]], text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model.value)
         for b in batches:
-            yield b.filter(pa.array([classifier.told(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(classifier.told(b.column(at).to_pylist()), pa.bool_()))
 
     at = df.columns.index(text_col)
     return map_batches(df, run, schema)
