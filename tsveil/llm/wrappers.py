@@ -13,9 +13,10 @@ SHARE of a frame's different pages is template, also where the examples don't sh
 their page would be have it beside different longest texts (copies of one article share theirs), or if over half of
 FRAME_PAGES or more pages have it, however much of them it is.
 
-Slots that aren't the article also vary (adverts, menus), so nodes that their tag, class, id or role names as page
-furniture are never content, and a page that marks its article gives only what is inside. Inside a marked article a
-text is template only if ARTICLE_EXAMPLES examples or more agree.
+Slots that aren't the article also vary (adverts, menus). Alignment can't tell these, so nodes that their tag, class or
+role (of containers outside an article also the id) names as page furniture are never content, and a page that marks its
+article gives only what is inside. Inside a marked article a text is template only if ARTICLE_EXAMPLES examples or more
+agree. Examples of a page's own frame are asked first; those of other frames only where there are too few.
 
 Pages are parsed once to count and once to extract; what is counted of a text is 64-bit hashes, added up map-side. A
 host's pages are dealt to lanes of about LANE_ROWS pages and streamed behind the host's examples and template texts, so a task
@@ -67,8 +68,10 @@ FURNITURE_NAMES = set(
 )
 #: Elements whose names speak of the whole page.
 WHOLE = {"html", "body", "main"}
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Containers that an id names; ids of headings and, in articles, of sections come from their titles.
+ID_NAMES = set("div section ul ol dl table header".split())
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
 
 
@@ -81,9 +84,21 @@ class Node:
         self.name = ""
 
 
-def named_furniture(attributes: str) -> bool:
-    names = " ".join(m.strip("\"'") for m in NAMED.findall(attributes))
-    return bool(names) and not FURNITURE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
+def attributes_of(tag: str) -> dict[str, str]:
+    """The attributes of a tag's inside, names in lower case, values decoded; of a name given twice the first counts."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(tag):
+        out.setdefault(name.lower(), entities.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return out
+
+
+def furniture(tag: str, given: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is hidden, or named as page furniture by its attributes."""
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or NO_DISPLAY.search(given.get("style", "")):
+        return True
+    names = [given.get("class", ""), given.get("role", ""), given.get("id", "") if tag in ID_NAMES and not in_article else ""]
+    words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(names)).lower())
+    return not FURNITURE_NAMES.isdisjoint(words)
 
 
 def parse(page: str) -> Node:
@@ -130,9 +145,13 @@ def parse(page: str) -> Node:
             close_to({"p"}, LIMITS)
         if tag in ENDS_ITSELF:
             close_to(ENDS_ITSELF[tag], {"ul", "ol", "dl", "table", "select"} - {tag})
-        node = Node(tag, noise=tag in FURNITURE or bool(attributes) and tag not in WHOLE and (bool(HIDDEN.search(attributes)) or named_furniture(attributes)))
-        if attributes and tag in CONTAINERS and tag not in WHOLE:
-            node.name = " ".join(x for x in " ".join(m.strip("\"'") for m in NAMED.findall(attributes)).split() if not any(map(str.isdigit, x)))
+        node = Node(tag, noise=tag in FURNITURE)
+        if attributes and tag not in WHOLE:
+            given = attributes_of(attributes)
+            node.noise = node.noise or furniture(tag, given, any(x.tag == "article" for x in stack))
+            if tag in CONTAINERS:
+                named = " ".join(given.get(k, "") for k in ("class", "id", "role"))
+                node.name = " ".join(x for x in named.split() if not any(map(str.isdigit, x)))
         stack[-1].kids.append(node)
         if tag in RAW:
             done = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -355,6 +374,7 @@ class Wrapper:
         self.shapes, self.sources, self.examples = shapes, examples, [parse(e) for e in examples]
         for e in self.examples:
             shapes.mark(e)
+        self.frames = [frame_of(e, content_blocks(e)[0])[0] for e in self.examples]
 
     def extract(self, page: str | None) -> str:
         """The page's main text; an example that is the page itself doesn't count."""
@@ -366,19 +386,19 @@ class Wrapper:
         sizes = {id(t): len(t.text) for block in blocks for t in block if not t.text.isspace()}
         agreed: dict[int, int] = {}
         used, whole = 0, sum(sizes.values())
-        for source, example in zip(self.sources, self.examples, strict=True):
-            same = self.shapes.constant(root, example) & sizes.keys() if source != page else sizes.keys()
+        frame, found = frame_of(root, blocks)
+        least = ARTICLE_EXAMPLES if marked else LEAST_EXAMPLES
+        asked = [k for k, f in enumerate(self.frames) if f == frame]
+        for k in asked if len(asked) >= least else range(len(self.examples)):
+            same = self.shapes.constant(root, self.examples[k]) & sizes.keys() if self.sources[k] != page else sizes.keys()
             # an example with this page's article tells nothing of the template
             if sum(sizes[i] for i in same) <= SAME_ARTICLE[marked] * whole:
                 used += 1
                 for i in same:
                     agreed[i] = agreed.get(i, 0) + 1
-        enough = used >= (ARTICLE_EXAMPLES if marked else LEAST_EXAMPLES)
-        counted: set[int] = set()
-        if self.template:
-            frame, found = frame_of(root, blocks)
-            known = self.template.get(frame, ())
-            counted = {i for i, t in found.items() if t in known}
+        enough = used >= least
+        known = self.template.get(frame, ())
+        counted = {i for i, t in found.items() if t in known}
         out = []
         for block in blocks:
             if any(i in sizes and i not in counted and not (enough and agreed.get(i, 0) == used) for i in map(id, block)):
@@ -402,16 +422,17 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     own = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
     keyed = own.where("html is not null").select("host", F.md5(F.col("html").cast("binary")).alias("hash"))
     ranked = keyed.groupBy("host", "hash").count().withColumn("at", F.row_number().over(W.partitionBy("host").orderBy("hash"))).where(F.col("at") <= EXEMPLARS)
-    picked = ranked.select(F.col("host").alias("__host"), F.col("hash").alias("__hash"))
+    space = Workspace(df.sparkSession, "main_text")
+    picked = space.save(ranked.select(F.col("host").alias("__host"), F.col("hash").alias("__hash")), "picked")
     # lanes: only hosts of more than LANE_ROWS pages have more than one, so there are few of those
     many = own.groupBy("host").count().where(F.col("count") > LANE_ROWS).select(F.col("host").alias("__h"), F.ceil(F.col("count") / LANE_ROWS).cast("int").alias("lanes"))
+    many = space.save(many, "many")
     lanes = small(many, many.count())
     pages = own.join(lanes, F.col("host") == F.col("__h"), "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
     n_picked = picked.count()
     same = (F.col("host") == F.col("__host")) & (F.md5(F.col("html").cast("binary")) == F.col("__hash"))
     examples = pages.join(small(picked, n_picked), same).groupBy("host", "__hash").agg(F.max("lanes").alias("lanes"), F.any_value("html").alias("html"))
     examples = examples.select("host", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("kind"), F.col("__hash").alias("hash"), F.lit(None).cast(dict(df.dtypes)[id_col]).alias("id"), F.lit(None).cast("string").alias("url"), "html", NO_TEXTS, F.lit(None).cast("bigint").alias("frame"))
-    space = Workspace(df.sparkSession, "main_text")
     template = space.save(template_texts(own), "template")
     n_template = template.count()
     of_host = own.groupBy("host").agg(F.ceil(F.count("*") / LANE_ROWS).cast("int").alias("lanes")).withColumnRenamed("host", "__host")
