@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 
 import ahocorasick
@@ -32,15 +33,19 @@ def automaton(pieces: list[tuple[str, object]]) -> ahocorasick.Automaton:
     return found
 
 
+#: A run of marks and the word behind it.
+CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+
+
 def chunks(text: str) -> list[str]:
-    """A text cut before every space (or word mark), without the space: "a b" gives a, b; a space at the start is no chunk of its own.
+    """The text with marks for spaces and one in front, if it has none there, cut before each run of marks: "a  b" gives _a, __b.
 
-    Each chunk stands for MARK + chunk; a text of one space gives one empty chunk. The empty text has none.
+    The empty text has none. Where no piece holds a mark behind another character, no piece spans two chunks.
     """
     if not text:
         return []
-    parts = text.replace(MARK, " ").split(" ")
-    return parts[1:] if len(parts) > 1 and not parts[0] else parts
+    marked = text.replace(" ", MARK)
+    return CHUNK.findall(marked if marked[0] == MARK else MARK + marked)
 
 
 @lru_cache(maxsize=4)

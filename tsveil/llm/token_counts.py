@@ -4,7 +4,8 @@ An Aho-Corasick automaton of the vocabulary gives all pieces that end at each ch
 carries the best score and its number of pieces, no path. The rules are those of unigram tokenizers: words begin with the
 word mark; a character that no piece of one character matches may be skipped as unknown at the worst score less a
 penalty; of equal scores the path whose last piece begins first is kept; an unknown character counts as its UTF-8 bytes
-(byte fallback). No piece spans two words, so a word's result is found once per cached word.
+(byte fallback). Texts are cut before each run of spaces, which pieces of several marks may match; no piece spans two
+such chunks, so a chunk's result is found once per cached chunk.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ class Counter(dict):
 
     def __init__(self, pieces: list[tuple[str, float]]):
         self.matches = automaton([(p, s) for p, s in pieces]).iter
-        self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
+        if any(MARK in p.lstrip(MARK) for p, _ in pieces):
+            raise ValueError("a piece holds the mark behind another character, so texts can't be cut at marks")
         self.single = {p for p, _ in pieces if len(p) == 1}
 
     def __missing__(self, chunk: str) -> tuple[float, int]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        word = MARK + chunk
-        n = len(word)
+        word, n = chunk, len(chunk)
         score, count = [0.0] * (n + 1), [0] * (n + 1)
         first = [n] * (n + 1)  # where the kept last piece begins; n: none yet
         at, single, unknown = 1, self.single, self.unknown
@@ -61,7 +63,7 @@ SCHEMA = "n_tokens long, n_words long, score double"
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | list[tuple[str, float]] = VOCABULARY) -> DataFrame:
-    """One row per row of df: id_col, n_tokens, n_words (chunks between spaces), score (of the best segmentation).
+    """One row per row of df: id_col, n_tokens, n_words (runs of spaces with the word behind them), score (of the best segmentation).
 
     A null or empty text has 0 tokens, 0 words and score 0. Texts are read whole; repeated rows give repeated rows, an
     empty table an empty result. Other columns aren't read. The vocabulary is a file on the driver or (piece, score)
