@@ -5,7 +5,7 @@ into one histogram (a row per distinct length, of which n need texts of n * n /
 dynamic programming over it finds the boundaries of least total padding. The cost is Monge, so the best predecessor moves monotonically and each
 bucket takes n log n steps. A batch then holds floor(budget / boundary) rows of one bucket, one row at least.
 
-Rows of a bucket are dealt to lanes of about LANE_ROWS rows by a hash of the id, and numbered inside a lane, so that no
+Rows of a bucket are dealt to lanes of about LANE_ROWS rows by a hash of id and length, and numbered inside a lane, so that no
 task holds a whole bucket; each lane ends in at most one batch that isn't full.
 """
 
@@ -69,8 +69,8 @@ def pack(df: DataFrame, tokens: Column, id_col: str = "doc_id", budget: int = BU
     """One row per row of df: id_col, n_tokens, bucket, boundary, lane, batch, slot (all long but id_col).
 
     (bucket, lane, batch) names a batch; its rows times its boundary are at most the budget, except for a row that is
-    longer than the budget, which is alone. A null or negative number of tokens counts as 0. Null ids share a lane per
-    bucket with others; ties and repeated rows are numbered in any order. An empty table gives an empty result. Other
+    longer than the budget, which is alone. A null or negative number of tokens counts as 0. Null ids of one length share a lane per
+    bucket; ties and repeated rows are numbered in any order. An empty table gives an empty result. Other
     columns aren't read.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("bigint").alias("n_tokens"))
@@ -85,7 +85,8 @@ def pack(df: DataFrame, tokens: Column, id_col: str = "doc_id", budget: int = BU
         inside = F.col("n_tokens") <= bounds[k]
         bucket, boundary = F.when(inside, F.lit(k)).otherwise(bucket), F.when(inside, F.lit(bounds[k])).otherwise(boundary)
         lanes = F.when(inside, F.lit(-(-held[k] // LANE_ROWS))).otherwise(lanes)
-    lane = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint"), lanes.cast("bigint"))
+    name = F.concat_ws(":", F.coalesce(F.col("__id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"))
+    lane = F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("bigint"), lanes.cast("bigint"))
     placed = rows.select("__id", "n_tokens", bucket.cast("bigint").alias("bucket"), boundary.cast("bigint").alias("boundary"), lane.alias("lane"))
     at = F.row_number().over(W.partitionBy("bucket", "lane").orderBy("n_tokens", "__id")) - 1
     full = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("boundary"))).cast("bigint")
@@ -124,7 +125,7 @@ WITH RECURSIVE len AS (
          lag(h.len, 1, -1) OVER (ORDER BY back.b) AS below FROM back JOIN hist h USING (j)
 ), placed AS (
   SELECT l.doc_id, l.n_tokens, b.bucket, b.boundary,
-         CAST('0x' || substr(md5(coalesce(CAST(l.doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % CAST(ceil(b.held / {LANE_ROWS}.0) AS BIGINT) AS lane
+         CAST('0x' || substr(md5(coalesce(CAST(l.doc_id AS VARCHAR), '') || ':' || CAST(l.n_tokens AS VARCHAR)), 1, 15) AS BIGINT) % CAST(ceil(b.held / {LANE_ROWS}.0) AS BIGINT) AS lane
   FROM len l JOIN bounds b ON l.n_tokens > b.below AND l.n_tokens <= b.boundary
 ), numbered AS (
   SELECT *, row_number() OVER (PARTITION BY bucket, lane ORDER BY n_tokens, doc_id) - 1 AS place, greatest(1, {budget} // boundary) AS full_rows FROM placed
