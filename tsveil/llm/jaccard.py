@@ -332,6 +332,7 @@ def components_of_rows(df: DataFrame, id_col: str, text_col: str, shingle: int =
     """(id, t, n, component) of each row of df; t: a hash of its text."""
     join = Join(df, id_col, text_col, shingle, similarity)
     labels = join.labels()
+    join.space.drop("copies", "often", "lists", "pairs", "met-pairs")
     firsts = join.firsts.select(F.col("node").alias("__node"), "first")
     if labels is not None:
         named = firsts.join(labels, F.col("__node") == F.col("node")).select("__node", "c", "first")
