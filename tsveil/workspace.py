@@ -14,12 +14,17 @@ BROADCAST_ROWS = 400_000
 
 
 class Workspace:
-    """Parquet tables under spark.checkpoint.dir, which driver and executors share; the JVM deletes them when it ends."""
+    """Parquet tables under spark.checkpoint.dir, which driver and executors share; the JVM deletes them when it ends.
+
+    Where the setting is missing, a local session gets a temporary folder; on a cluster that raises a RuntimeError, as executors wouldn't share it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="tsveil-")
             spark.sparkContext.setCheckpointDir(root)
         self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
