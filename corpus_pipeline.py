@@ -3,7 +3,7 @@
 Each stage is a function of (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return
 the columns of documents. A stage's result is written as Parquet and read again before the next one.
 
-1. language: documents without a letter, whose language can't be told, go.
+1. language: documents without a letter go, and those that no learned language's phrases explain.
 2. near_duplicates: of each group of documents linked by similar 5-word shingles the one of least id stays.
 3. repeats: windows of 20 words that an earlier document (or place) has are cut out of the texts.
 4. decontamination: documents that contain a benchmark item go.
@@ -21,6 +21,7 @@ from tsveil.llm.base import Workspace, documents
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # it keeps documents, not predictions, so all labelled ones may be learned from
     return langid.keep_identified(docs, langid.training_texts(docs, "text", "lang", "doc_id"))
 
 

@@ -84,8 +84,21 @@ def test_long_rows_head_and_paths(spark):
     table = series.from_long(long, 3)
     assert table.rows.first()["series"] == [2.0, 0.0, 4.0]
     assert set(series.head(table, [1, 5])) == {1}
-    assert series.published_path("data/x.csv", "naive") == "data/anonymized/x_naive_anon.csv"
-    assert series.published_path("data/downsampled/x_5.csv", "kapra") == "data/anonymized/x_5_kapra_anon.csv"
+    assert series.published_path("data/x.csv", "value_first") == "data/anonymized/x_value_first_anon.csv"
+    assert series.published_path("data/downsampled/x_5.csv", "pattern_first") == "data/anonymized/x_5_pattern_first_anon.csv"
+    assert series.published_path("viewfs://store/in/x.csv", "s") == "viewfs://store/in/anonymized/x_s_anon.csv"
+    assert series.published_path("x.csv", "s") == "./anonymized/x_s_anon.csv"
+
+
+def test_downsampled_files(spark, tmp_path, caplog, capsys):
+    rows = spark.createDataFrame([(i, i % 3, [float(i), 0.5]) for i in range(9, 0, -1)], SCHEMA)
+    path = str(tmp_path / "w.csv")
+    series.write_wide_csv(SeriesTable(rows, 2), path, ["a", "b"])
+    series.main([path, "4,100,2"])
+    assert capsys.readouterr().out.split() == [str(tmp_path / f"downsampled/w_{n}.csv") for n in (4, 2)]
+    assert "100" in caplog.text
+    table, names = series.read_wide_csv(spark, str(tmp_path / "downsampled/w_4.csv"))
+    assert names == ["a", "b"] and sorted(r["id"] for r in table.rows.collect()) == [1, 2, 3, 4]
 
 
 def test_stream_of_days(spark, tmp_path):

@@ -17,11 +17,10 @@ from tsveil.workspace import Workspace
 
 W, P, K, L = 6, 3, 16, 3
 HEAD = 100
+#: Rows of a leaf in the query of suppressed rows.
+MANY = 10
 #: Ids of a root of the value-first tree query.
 BUCKET = 64
-#: Patterns (id, s1 to s6) in which two rows fit nowhere, for the query of suppressed rows.
-SUPPRESSED = [(i, "aa", "ab", "ab", "bc", "bd", "ce") for i in range(8)] + [(8, "aa", "ba", "ca", "da", "ea", "fa"), (9, "aa", "bb", "cb", "db", "eb", "fb")]
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -202,7 +201,7 @@ UNION_WIDTH = "list_transform(list_zip(a.hi, b.hi, a.lo, b.lo), lambda z: greate
 def nearest_group_vl(spark, sf_dir):
     rows, n = patterns(spark, sf_dir)
     groups = Workspace(spark, "nearest").save(penalty.envelopes(rows, n, "s2").withColumnRenamed("s2", "gid"), "groups")
-    return bisect.nearest_groups(groups, groups.count())
+    return bisect.nearest_groups(groups, groups)
 
 
 @query(f"WITH {F1} SELECT s2, s3, count(*) AS n FROM r GROUP BY s2, s3")
@@ -243,7 +242,7 @@ def bucket() -> F.Column:
 
 
 @query(f"WITH {F1}, {sql.tree(P, root=ROOT_SQL)} SELECT root, {LEAF_SQL} FROM leaves")
-def pattern_tree_naive(spark, sf_dir):
+def pattern_tree_by_root(spark, sf_dir):
     rows = patterns(spark, sf_dir)[0]
     leaves = pattern_tree.split(pattern_tree.classes(rows, bucket()), P, Workspace(spark, "tree"))
     return leaf(pattern_tree.on_records(rows, leaves, bucket()), "root")
@@ -262,11 +261,12 @@ def recycle_leaves(spark, sf_dir):
     return leaf(pattern_tree.on_records(rows, pattern_tree.pattern_first_leaves(rows, P, Workspace(spark, "tree"))))
 
 
-@query(f"WITH r(id, {sql.PATTERN_COLUMNS}) AS (VALUES {', '.join(map(str, SUPPRESSED))}), {sql.tree(P)}, {sql.recycled(P)} SELECT CAST(id AS BIGINT) AS id, status FROM placed")
+@query(f"WITH {sql.base('user_day')}, {sql.tree(MANY)}, {sql.recycled(MANY)} SELECT {LEAF_SQL} FROM placed")
 def suppressed_records(spark, sf_dir):
-    """Rows that fit no pattern of P rows, on a table in which there are some."""
-    rows = spark.createDataFrame(SUPPRESSED, f"id long, {', '.join(f'{c} string' for c in pattern_tree.PATTERNS)}")
-    return pattern_tree.on_records(rows, pattern_tree.pattern_first_leaves(rows, P, Workspace(spark, "tree"))).select("id", "status")
+    """Recycling with leaves so large that rows can stay bad at every level."""
+    table = series.user_day(spark, sf_dir)
+    rows = pattern_tree.with_patterns(table, W)
+    return leaf(pattern_tree.on_records(rows, pattern_tree.pattern_first_leaves(rows, MANY, Workspace(spark, "tree"))))
 
 
 @query(f"WITH {F1} SELECT s3 AS gid, count(*) AS n FROM r GROUP BY s3 HAVING count(*) < {K}")
@@ -313,6 +313,48 @@ def global_pattern_loss(spark, sf_dir):
     return publish.losses(table, rows, n).select(*(F.round(c, 6).alias(c) for c in ("tot_pattern_loss", "avg_pattern_loss")))
 
 
+@query(f"""WITH {F1}, g AS ({GROUPS}), v AS (SELECT means, {sql.medians_of('s3')} AS fv FROM r),
+pl AS (SELECT round(sum(loss), 3) AS tot_pattern_loss, round(avg(loss), 3) AS avg_pattern_loss FROM (SELECT {sql.cosine('means', 'fv')} AS loss FROM v))
+SELECT pl.*, round(sum(loss), 3) AS tot_value_loss, round(sum(loss) / sum(n), 3) AS avg_value_loss FROM pl, (SELECT n, {sql.value_loss('n', 'lo', 'hi')} AS loss FROM g) GROUP BY ALL""")
+def evaluate_published_file(spark, sf_dir):
+    """A published CSV, written and evaluated from the file."""
+    table, _, n = grouped(spark, sf_dir)
+    path = f"{Workspace(spark, 'published').path}/csv"
+    publish.write_published(table, n, path)
+    return pipelines.evaluate(series.part_quarter(spark, sf_dir), path, W)
+
+
+SIZES = (4, 16, 64)
+STAT = " UNION ALL ".join(
+    f"SELECT '{a}' AS algorithm, {k}.0 AS tuned_value, (SELECT coalesce(sum(n), 0.0) FROM (SELECT count(*) AS n FROM r GROUP BY {c}) WHERE n >= {k}) AS value" for a, c in (("value_first", "s2"), ("pattern_first", "s3")) for k in SIZES
+)
+
+
+@query(f"WITH {F1} SELECT 'kept_rows' AS metric, 'P' AS fixed_param, {P}.0::DOUBLE AS fixed_value, algorithm, tuned_value::DOUBLE AS tuned_value, 'part_quarter' AS dataset, value::DOUBLE AS value FROM ({STAT})")
+def stat_file(spark, sf_dir):
+    """A stat file of rows in groups of k or more, written as text and read again."""
+    rows = patterns(spark, sf_dir)[0]
+    path = f"{Workspace(spark, 'stat').path}/text"
+    lines = spark.range(1).select(F.lit(f"kept_rows P {P}").alias("value"))
+    for name, column in (("value_first", "s2"), ("pattern_first", "s3")):
+        sizes = rows.groupBy(column).agg(F.count("*").alias("n"))
+        kept = sizes.agg(*(F.coalesce(F.sum(F.when(F.col("n") >= k, F.col("n"))), F.lit(0)).alias(f"k{k}") for k in SIZES))
+        each = F.explode(F.array(*(F.concat_ws(" ", F.lit(name), f"k{k}", F.lit(str(k)), F.lit("part_quarter")) for k in SIZES)))
+        lines = lines.unionByName(kept.select(each.alias("value")))
+    lines.write.text(path)
+    return pipelines.read_stat_file(spark, path, list(pipelines.STRATEGIES), ["part_quarter"])
+
+
+@query(f"WITH {sql.fixture('part_quarter')[0]} SELECT id, sensitive, list_sum(series) AS total FROM f ORDER BY id LIMIT {HEAD}")
+def downsampled_file(spark, sf_dir):
+    """The rows of least ids, written as the CSV of a smaller data set and read again."""
+    table = series.part_quarter(spark, sf_dir)
+    path = f"{Workspace(spark, 'downsampled').path}/part.csv"
+    written = series.write_downsampled(table, path, [HEAD])
+    read, _ = series.read_wide_csv(spark, written[HEAD])
+    return read.rows.select("id", "sensitive", symbolic.total(F.col("series")).alias("total"))
+
+
 def subgroups(spark, sf_dir) -> DataFrame:
     return patterns(spark, sf_dir)[0].select("id", F.col("s2").alias("group_id"), F.col("s3").alias("pr"), "sensitive")
 
@@ -418,7 +460,9 @@ def small_sweep(spark, sf_dir) -> DataFrame:
 
 @query()
 def sweep_report(spark, sf_dir):
-    return small_sweep(spark, sf_dir)
+    """The published grid on three data sets, both strategies; combinations that a table is too small for have their error."""
+    tables = {f.__name__: f(spark, sf_dir) for f in (series.part_quarter, series.user_day, series.embedding)}
+    return pipelines.sweep(tables, pipelines.GRID)
 
 
 @query()

@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
-from tsveil.functions.symbolic import FLAT, MAX_ALPHABET, PLACES, cuts, medians
-from tsveil.sources.series import DAYS, DIMENSIONS, FIRST_DAY, FIRST_YEAR, QUARTERS
+#: Fixed values, written apart from those of the Spark code: quantiles of the standard normal distribution (cuts and medians of
+#: parts of equal probability, by alphabet), the deviation under which a series stays as it is, places of means, fixtures.
+CUTS = {
+    1: [],
+    2: [0.0],
+    3: [-0.43072729929545744, 0.43072729929545733],
+    4: [-0.6744897501960817, 0.0, 0.6744897501960817],
+    5: [-0.8416212335729142, -0.2533471031357998, 0.2533471031357998, 0.8416212335729142],
+    6: [-0.9674215661017014, -0.43072729929545744, 0.0, 0.43072729929545733, 0.9674215661017014],
+}
+MEDIANS = {
+    1: [0.0],
+    2: [-0.6744897501960817, 0.6744897501960817],
+    3: [-0.9674215661017014, 0.0, 0.9674215661017014],
+    4: [-1.1503493803760079, -0.31863936396437514, 0.31863936396437514, 1.1503493803760079],
+    5: [-1.2815515655446008, -0.5244005127080407, 0.0, 0.5244005127080407, 1.2815515655446008],
+    6: [-1.3829941271006387, -0.6744897501960817, -0.2104283942479247, 0.21042839424792484, 0.6744897501960817, 1.382994127100638],
+}
+FLAT, PLACES, MAX_ALPHABET = 0.01, 9, 6
+FIRST_YEAR, QUARTERS, FIRST_DAY, DAYS, DIMENSIONS = 1995, 28, "2024-01-01", 30, 64
 
 LEVELS = range(1, MAX_ALPHABET + 1)
 PATTERN_COLUMNS = ", ".join(f"s{a}" for a in LEVELS)
@@ -37,7 +55,7 @@ def paa(column: str, n: int, w: int) -> str:
 def sax(w: int, a: int) -> str:
     if a == 1:
         return f"'{'a' * w}'"
-    index = lambda j: " + ".join(f"CAST(means[{j + 1}] >= {c!r} AS INTEGER)" for c in cuts(a))
+    index = lambda j: " + ".join(f"CAST(means[{j + 1}] >= {c!r} AS INTEGER)" for c in CUTS[a])
     return " || ".join(f"substr('abcdef', 1 + {index(j)}, 1)" for j in range(w))
 
 
@@ -68,7 +86,7 @@ def value_loss(n: str, lo: str, hi: str) -> str:
 
 def medians_of(pattern: str, w: int = 6) -> str:
     """The reconstruction of a pattern, by the alphabet up to its greatest letter."""
-    table = "[" + ", ".join("[" + ", ".join(repr(m) for m in medians(a)) + "]" for a in LEVELS) + "]"
+    table = "[" + ", ".join("[" + ", ".join(repr(m) for m in MEDIANS[a]) + "]" for a in LEVELS) + "]"
     top = f"greatest({', '.join(f'ascii(substr({pattern}, {j + 1}, 1)) - 96' for j in range(w))})"
     return "[" + ", ".join(f"({table})[{top}][ascii(substr({pattern}, {j + 1}, 1)) - 96]" for j in range(w)) + "]"
 

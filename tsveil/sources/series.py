@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import argparse
+import logging
 from dataclasses import dataclass
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LOG = logging.getLogger(__name__)
 FIRST_YEAR, QUARTERS = 1995, 28
 FIRST_DAY, DAYS = "2024-01-01", 30
 DIMENSIONS = 64
@@ -97,8 +99,42 @@ def head(table: SeriesTable, sizes: list[int]) -> dict[int, DataFrame]:
     return {size: table.rows.orderBy("id").limit(size) for size in sizes if 0 < size <= n}
 
 
+def split_path(path: str) -> tuple[str, str]:
+    """(folder, name without its ending) of a path or URL; the folder of a bare name is "."."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return folder or ("." if not path.startswith("/") else ""), name.rpartition(".")[0] or name
+
+
+def write_downsampled(table: SeriesTable, path: str, sizes: list[int], names: list[str] | None = None) -> dict[int, str]:
+    """size -> the CSV <folder of path>/downsampled/<name>_<size>.csv with the rows of the `size` least ids; a size that is over the number of rows is logged and left out."""
+    (folder, name), out = split_path(path), {}
+    for size, rows in head(table, sizes).items():
+        out[size] = f"{folder}/downsampled/{name}_{size}.csv"
+        write_wide_csv(SeriesTable(rows, table.length), out[size], names)
+    for size in sizes:
+        if size not in out:
+            LOG.error("%s doesn't have %d rows to keep", name, size)
+    return out
+
+
+def main(argv: list[str] | None = None) -> None:
+    """downsample a wide CSV: FILE SIZE[,SIZE...]; writes one CSV per size and prints their paths."""
+    parser = argparse.ArgumentParser(description=main.__doc__)
+    parser.add_argument("file")
+    parser.add_argument("sizes", type=lambda x: [int(n) for n in x.split(",")])
+    args = parser.parse_args(argv)
+    table, names = read_wide_csv(SparkSession.builder.appName("tsveil").getOrCreate(), args.file, infer=True)
+    print(*write_downsampled(table, args.file, args.sizes, names).values(), sep="\n")
+
+
 def published_path(path: str, strategy: str, folder: str = "anonymized", skip: str = "downsampled") -> str:
     """Where the published form of a data set goes: <its folder>/anonymized/<name>_<strategy>_anon.csv, beside a `downsampled` folder rather than inside."""
-    p = PurePosixPath(path)
-    parent = p.parent.parent if p.parent.name == skip else p.parent
-    return str(parent / folder / f"{p.stem}_{strategy}_anon.csv")
+    parent, name = split_path(path)
+    if parent.rpartition("/")[2] == skip:
+        parent = parent.rpartition("/")[0] or "."
+    return f"{parent}/{folder}/{name}_{strategy}_anon.csv"
+
+
+
+if __name__ == "__main__":
+    main()
