@@ -10,7 +10,7 @@ article again and isn't asked.
 Examples are few, so all pages of a host are counted too. Pages of one frame (the paths and names of their containers
 outside page furniture and articles) share a template, of which a host may have many. A text at one path on at least
 SHARE of a frame's different pages is template, also where the examples don't show it, if as many pages as examples with
-their page would be have it beside different longest texts (copies of one article share theirs), or if over half of
+their page would be have it beside different longest blocks (copies of one article share theirs), or if over half of
 FRAME_PAGES or more pages have it, however much of them it is.
 
 Slots that aren't the article also vary (adverts, menus). Alignment can't tell these, so nodes that their tag, class or
@@ -334,17 +334,17 @@ def frame_of(root: Node, blocks: list[list[Node]]) -> tuple[int, dict[int, int]]
 
 
 def evidence(page: str) -> tuple[int, int, int, int, set[int]]:
-    """(frame, least pages that must agree, longest text, all text, texts with their paths) of a page, as hashes."""
+    """(frame, least pages that must agree, text of the longest block, all text, texts with their paths) of a page, as hashes."""
     root = parse(page)
     blocks, marked = content_blocks(root)
     frame, found = frame_of(root, blocks)
-    texts = [t.text for block in blocks for t in block if id(t) in found]
+    texts = ["".join(t.text for t in block if id(t) in found) for block in blocks]
     return frame, 1 + (ARTICLE_EXAMPLES if marked else LEAST_EXAMPLES), hash64(max(texts, key=len, default="")), hash64("\0".join(texts)), set(found.values())
 
 
 #: The text that stands for a page itself.
 PAGE = 0
-#: Bits of the longest texts' hashes that number a place in a bitmap of 64: as many texts differ as a bitmap has places.
+#: Bits of the longest blocks' hashes that number a place in a bitmap of 64: as many texts differ as a bitmap has places.
 BITMAPS = (0, 6, 12, 18)
 
 
