@@ -780,6 +780,30 @@ def test_scores_like_brute_force(spark):
         assert (x["score"], x["n_tokens"]) == (pytest.approx(score), n), texts[x["doc_id"]]
 
 
+def test_texts_of_many_words(spark):
+    """A text of 600,000 words, and a part of it, through the operators that split texts into words."""
+    long = " ".join(f"v{i * i % 99991}" for i in range(600_000))
+    part = " ".join(long.split(" ")[300_000:300_060])
+    rows = [(1, long, "en", None, None), (2, "short text", "en", None, None), (3, part, "en", None, None)]
+    df = table(spark, rows, False)
+    bench = spark.createDataFrame([(9, part)], "item_id long, text string")
+    found = decontamination.matches(df, bench).collect()
+    assert {r["doc_id"] for r in found} == {1, 3} and all(r["similarity"] == 1.0 for r in found)
+    assert {r["doc_id"]: r["n_tokens"] for r in packing.pack_documents(df).collect()} == {1: 600_001, 2: 3, 3: 61}
+    assert {r["doc_id"]: r["n_words"] for r in token_counts.count_tokens(df).collect()} == {1: 600_000, 2: 2, 3: 60}
+    assert {r["doc_id"]: r["n_tokens"] for r in lm.score(df).collect()} == {1: 600_001, 2: 3, 3: 61}
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.remove_repeats(df).collect()}
+    seen, lost = set(), [False] * 600_000
+    words = long.split(" ")
+    for k in range(len(words) - 19):
+        window = tuple(words[k : k + 20])
+        if window in seen:
+            lost[k : k + 20] = [True] * 20
+        seen.add(window)
+    assert cut == {1: (600_000, sum(lost)), 2: (2, 0), 3: (60, 60)}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.link_components(df).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 # --- 10 repeats
 
 
