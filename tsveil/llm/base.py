@@ -164,4 +164,8 @@ def keyed(table: DataFrame) -> DataFrame:
 
 def carried(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, text): df's rows as one column, so that joins can add columns of any name; select("row.*") gives them back."""
-    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), df[f"`{id_col}`"].alias("id"), df[f"`{text_col}`"].alias("text"))
+    return df.select(
+        F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"),
+        df[f"`{id_col}`"].alias("id"),
+        df[f"`{text_col}`"].alias("text"),
+    )

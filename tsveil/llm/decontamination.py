@@ -84,9 +84,21 @@ def fingerprints(rows: DataFrame, *keys: str) -> DataFrame:
 def blocks(df: DataFrame, flips: int) -> DataFrame:
     """df with a row for each block of its print and each way to flip up to `flips` of the block's bits: block, value."""
     masks = [sum(1 << i for i in some) for n in range(flips + 1) for some in combinations(range(WIDTH), n)]
-    cut = F.explode(F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("print", b * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("bigint")).alias("value")) for b in range(BLOCKS))))
+    cut = F.explode(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(b).alias("block"),
+                    F.shiftrightunsigned("print", b * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("bigint")).alias("value"),
+                ) for b in range(BLOCKS)
+            )
+        )
+    )
     rows = df.withColumn("__at", cut).select(*df.columns, "__at.block", "__at.value")
-    return rows if not flips else rows.withColumn("__m", F.explode(F.array(*map(F.lit, masks)))).withColumn("value", F.col("value").bitwiseXOR(F.col("__m").cast("bigint"))).drop("__m")
+    return rows if not flips else rows.withColumn("__m", F.explode(F.array(*map(F.lit, masks)))).withColumn(
+        "value",
+        F.col("value").bitwiseXOR(F.col("__m").cast("bigint")),
+    ).drop("__m")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -128,7 +140,12 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     texts = own.join(small(windows.select("key"), windows.count()), "key", "left_semi").dropDuplicates(["key"])
     sizes = [SHINGLE, *short]
     worded = texts.select("key", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    hashed = [F.when(F.size("words") >= size, gram_hashes("words", size)).otherwise(F.array().cast("array<bigint>")).alias(f"h{size}") for size in sizes]
+    hashed = [
+        F.when(
+            F.size("words") >= size,
+            gram_hashes("words", size),
+        ).otherwise(F.array().cast("array<bigint>")).alias(f"h{size}") for size in sizes
+    ]
     texts = space.save(worded.select("key", F.size("words").alias("size"), *hashed), "texts")
     unseen = F.log(1 + F.lit(float(n_items)))
 
@@ -150,14 +167,22 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         return met.select("key", F.explode(F.transform(F.filter("windows", own), grams)).alias("x")).select("key", "x.*")
 
     known = weights.select(F.col("gram").alias("__gram"), "w")
-    votes = cut(windows).select("key", "n", "start", F.explode("grams").alias("gram")).join(keyed(known), F.col("gram") == F.col("__gram"), "left")
+    votes = (
+        cut(windows)
+        .select("key", "n", "start", F.explode("grams").alias("gram"))
+        .join(keyed(known), F.col("gram") == F.col("__gram"), "left")
+    )
     votes = votes.select("key", "n", "start", "gram", F.coalesce("w", unseen).alias("w"))
     prints = space.save(fingerprints(votes, "key", "n", "start"), "prints")
 
     # 3: all windows and items of a size within the radius
     listed = blocks(item_prints.select("item", "n", "print", "item_weight"), RADIUS // BLOCKS).withColumnRenamed("print", "item_print")
     listed = space.save(listed, "listed")
-    near = blocks(prints, 0).join(small(listed, listed.count()), ["block", "value", "n"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = (
+        blocks(prints, 0)
+        .join(small(listed, listed.count()), ["block", "value", "n"])
+        .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    )
     near = space.save(near.select("key", "n", "start", "weight", "item", "item_weight").distinct(), "near")
 
     # 4: exact similarity
@@ -165,12 +190,31 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     lists = item_grams.groupBy("item").agg(F.collect_list(F.struct("gram", "w")).alias("of_item"))
     common = F.filter("of_item", lambda x: F.array_contains("grams", x["gram"]))
     shared = F.aggregate(common, F.lit(0.0), lambda total, x: total + x["w"])
-    total = near.join(kept, ["key", "n", "start"]).join(small(lists, n_grams), "item").select("key", "n", "start", "item", "weight", "item_weight", shared.alias("shared"))
+    total = (
+        near.join(kept, ["key", "n", "start"])
+        .join(small(lists, n_grams), "item")
+        .select("key", "n", "start", "item", "weight", "item_weight", shared.alias("shared"))
+    )
     similarity = F.round(F.col("shared") / (F.col("weight") + F.col("item_weight") - F.col("shared")), 9)
     best = total.withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY)
     best = best.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("top"))
     found = space.save(best.select("key", "item", "top.similarity", (-F.col("top.back")).alias("start"), "top.n"), "found")
-    space.drop("items", "item-words", "weights", "item-grams", "item-prints", "heads", "hits", "matched", "enough", "windows", "texts", "prints", "listed", "near")
+    space.drop(
+        "items",
+        "item-words",
+        "weights",
+        "item-grams",
+        "item-prints",
+        "heads",
+        "hits",
+        "matched",
+        "enough",
+        "windows",
+        "texts",
+        "prints",
+        "listed",
+        "near",
+    )
     return own, found
 
 
@@ -184,14 +228,24 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     own, found = contaminated(df, benchmark, id_col, text_col, item_col, item_text_col)
     rows = own.select("id", F.col("key").alias("__key")).join(small(found, found.count()), F.col("__key") == F.col("key"))
-    return rows.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("similarity", 6).alias("similarity"), F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n_words"))
+    return rows.select(
+        F.col("id").alias(id_col),
+        F.col("item").alias(item_col),
+        F.round("similarity", 6).alias("similarity"),
+        F.col("start").cast("long").alias("start"),
+        F.col("n").cast("long").alias("n_words"),
+    )
 
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns unchanged, that contain no item of the benchmark."""
     _, found = contaminated(df, benchmark, id_col, text_col)
     keys = found.select(F.col("key").alias("__key")).distinct()
-    return carried(df, id_col, text_col).join(small(keys, found.count()), F.xxhash64("id", "text") == F.col("__key"), "left_anti").select("row.*")
+    return (
+        carried(df, id_col, text_col)
+        .join(small(keys, found.count()), F.xxhash64("id", "text") == F.col("__key"), "left_anti")
+        .select("row.*")
+    )
 
 
 def matches_sql(source: str = "documents", benchmark: str = "benchmark") -> str:

@@ -97,14 +97,20 @@ class Join:
                 found, counts = np.unique(np.concatenate(held), return_counts=True)
                 often = counts >= LOCAL_COUNT
                 k = int(often.sum())
-                return pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.array(counts[often]), signed(found[often]), pa.array(np.ones(k, bool))], names=names)
+                return pa.RecordBatch.from_arrays(
+                    [pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.array(counts[often]), signed(found[often]), pa.array(np.ones(k, bool))],
+                    names=names,
+                )
 
             for b in batches:
                 kind = b.column(0).type
                 sets = [shingles(h, n_gram) for h in words.of(b.column(1))]
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 nodes = pa.array([name_of(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), nodes, pa.array(np.zeros(len(sets), bool))], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(2), pa.array(n), nodes, pa.array(np.zeros(len(sets), bool))],
+                    names=names,
+                )
                 held += sets
                 size += int(n.sum())
                 if size >= WINDOW:
@@ -129,9 +135,18 @@ class Join:
         firsts = self.docs.where("node is not null").groupBy("node").agg(F.count("*").alias("rows"), least)
         self.firsts = self.space.save(firsts.select("node", "rows", F.col("least.id").alias("first")), "firsts")
         shared = self.firsts.where("rows > 1").select(F.col("node").alias("__node"), "first")
-        copies = self.docs.join(shared, F.col("node") == F.col("__node")).where("id <> first").select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
+        copies = (
+            self.docs.join(shared, F.col("node") == F.col("__node"))
+            .where("id <> first")
+            .select(F.col("id").alias("__id"), F.col("t").alias("__t"))
+            .distinct()
+        )
         copies = self.space.save(copies, "copies")
-        self.texts = self.own.join(small(copies, copies.count()), (F.col("id") == F.col("__id")) & (F.col("t") == F.col("__t")), "left_anti")
+        self.texts = self.own.join(
+            small(copies, copies.count()),
+            (F.col("id") == F.col("__id")) & (F.col("t") == F.col("__t")),
+            "left_anti",
+        )
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, seen = Words(lower=True), set()
@@ -157,20 +172,49 @@ class Join:
                         order = np.argsort(key)[:size]
                     out.append((s[order], np.full(size, name), np.arange(size, dtype=np.int32), np.full(size, n, np.int32)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate([o[0] for o in out])), *(pa.array(np.concatenate([o[k] for o in out])) for k in (1, 2, 3))], names=["shingle", "node", "place", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [signed(np.concatenate([o[0] for o in out])), *(pa.array(np.concatenate([o[k] for o in out])) for k in (1, 2, 3))],
+                        names=["shingle", "node", "place", "n"],
+                    )
 
         emitted = self.space.save(map_batches(self.texts.select("text"), emit, "shingle long, node long, place int, n int"), "emitted")
-        often_met = self.space.save(emitted.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").withColumnRenamed("shingle", "__shingle"), "often")
-        met = self.space.save(emitted.join(keyed(often_met), F.col("shingle") == F.col("__shingle")).select("shingle", "node", "place", "n", "sets").dropDuplicates(["shingle", "node"]), "met")
+        often_met = self.space.save(
+            emitted.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").withColumnRenamed("shingle", "__shingle"),
+            "often",
+        )
+        met = self.space.save(
+            (
+                emitted.join(keyed(often_met), F.col("shingle") == F.col("__shingle"))
+                .select("shingle", "node", "place", "n", "sets")
+                .dropDuplicates(["shingle", "node"])
+            ),
+            "met",
+        )
         self.space.drop("emitted")
         # each set's m: the cost of the lists that a prefix meets, and of verifying at most lists / m candidates
-        lists = [F.sum(F.when(F.col("place") < F.col("n") - self.overlap("n") + m, F.col("sets") - 1).otherwise(0)) for m in range(1, MATCHES + 1)]
+        lists = [
+            F.sum(
+                F.when(F.col("place") < F.col("n") - self.overlap("n") + m, F.col("sets") - 1).otherwise(0)
+            ) for m in range(1, MATCHES + 1)
+        ]
         priced = met.groupBy("node").agg(F.max("n").alias("n"), *(x.alias(f"c{m}") for m, x in enumerate(lists, 1)))
-        costs = [F.when(F.lit(m) <= self.overlap("n"), F.struct((F.col(f"c{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m"))) for m in range(1, MATCHES + 1)]
+        costs = [
+            F.when(
+                F.lit(m) <= self.overlap("n"),
+                F.struct((F.col(f"c{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")),
+            ) for m in range(1, MATCHES + 1)
+        ]
         chosen = priced.select(F.col("node").alias("__node"), F.least(*costs)["m"].alias("m"))
         inside = met.join(chosen, F.col("node") == F.col("__node")).where(F.col("place") < self.reach("n", "m"))
-        lists = inside.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("m").alias("m"), F.array_sort(F.collect_list(F.struct("place", "shingle"))).alias("list"))
-        self.lists = self.space.save(lists.select("node", "n", "m", F.col("list.shingle").alias("shingles"), F.col("list.place").alias("places")), "lists")
+        lists = inside.groupBy("node").agg(
+            F.any_value("n").alias("n"),
+            F.any_value("m").alias("m"),
+            F.array_sort(F.collect_list(F.struct("place", "shingle"))).alias("list"),
+        )
+        self.lists = self.space.save(
+            lists.select("node", "n", "m", F.col("list.shingle").alias("shingles"), F.col("list.place").alias("places")),
+            "lists",
+        )
         self.space.drop("met")
         self.n_members = self.lists.agg(F.sum(F.size("shingles"))).first()[0] or 0
 
@@ -185,10 +229,16 @@ class Join:
             words = Words(lower=True)
             for batch in batches:
                 sets = [s for s in (shingles(h, n_gram) for h in words.of(batch.column(0))) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["node", "members"],
+                )
 
         # rows that share an id with a named one come along; they name themselves
-        return self.space.save(map_batches(chosen.select("text"), gather, "node long, members binary").join(small(nodes, count), "node", "left_semi"), f"{name}-sets")
+        return self.space.save(
+            map_batches(chosen.select("text"), gather, "node long, members binary").join(small(nodes, count), "node", "left_semi"),
+            f"{name}-sets",
+        )
 
     def reaching(self, rows: DataFrame) -> DataFrame:
         """Of rows (members' columns of x and y) for a shared shingle those whose pair can still be similar.
@@ -198,7 +248,9 @@ class Join:
         """
         low = F.least("m_x", "m_y")
         rest = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) - 1
-        inside = (F.col("place_x") < F.col("n_x") - self.overlap("n_x") + low) & (F.col("place_y") < F.col("n_y") - self.overlap("n_y") + low)
+        inside = (
+            F.col("place_x") < F.col("n_x") - self.overlap("n_x") + low
+        ) & (F.col("place_y") < F.col("n_y") - self.overlap("n_y") + low)
         return rows.where(inside & (F.least("rank_x", "rank_y") + rest >= self.needed()))
 
     def needed(self) -> Column:
@@ -210,7 +262,11 @@ class Join:
         """Of distinct pairs (x, y) those whose prefixes for the smaller m share m shingles, and that can reach the overlap with what lies behind the last of these."""
         x = self.lists.select(*(F.col(c).alias(f"{c}_x") for c in self.lists.columns))
         y = self.lists.select(*(F.col(c).alias(f"{c}_y") for c in self.lists.columns))
-        rows = pairs.join(x, F.col("x") == F.col("node_x")).join(y, F.col("y") == F.col("node_y")).select("x", "y", "n_x", "m_x", "shingles_x", "places_x", "n_y", "m_y", "shingles_y", "places_y")
+        rows = (
+            pairs.join(x, F.col("x") == F.col("node_x"))
+            .join(y, F.col("y") == F.col("node_y"))
+            .select("x", "y", "n_x", "m_x", "shingles_x", "places_x", "n_y", "m_y", "shingles_y", "places_y")
+        )
         a, b_ = self.similarity
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +307,10 @@ class Join:
                         shared.append(both)
                         size.append(len(p) + len(q) - both)
                 at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], names=["x", "y", "shared", "size"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(shared, pa.int64()), pa.array(size, pa.int64())],
+                    names=["x", "y", "shared", "size"],
+                )
 
         found = self.space.save(map_batches(rows, test, "x long, y long, shared long, size long"), f"{name}-links")
         self.space.drop(f"{name}-sets")
@@ -263,14 +322,29 @@ class Join:
         On each list, sets outside the list's most frequent label meet all sets of other labels, so a list of one label costs nothing.
         """
         counts = labelled.groupBy("shingle", "c").count()
-        top = counts.groupBy("shingle").agg(F.max(F.struct("count", "c"))["c"].alias("top"), F.count("*").alias("labels")).where("labels > 1").select(F.col("shingle").alias("__shingle"), "top")
-        rows = labelled.join(top, F.col("shingle") == F.col("__shingle")).withColumn("odd", F.col("c") != F.col("top")).drop("__shingle", "top")
+        top = (
+            counts.groupBy("shingle")
+            .agg(F.max(F.struct("count", "c"))["c"].alias("top"), F.count("*").alias("labels"))
+            .where("labels > 1")
+            .select(F.col("shingle").alias("__shingle"), "top")
+        )
+        rows = (
+            labelled.join(top, F.col("shingle") == F.col("__shingle"))
+            .withColumn("odd", F.col("c") != F.col("top"))
+            .drop("__shingle", "top")
+        )
         one = rows.where("odd").select(*(F.col(c).alias(f"{c}_x") for c in rows.columns))
         two = rows.select(*(F.col(c).alias(f"{c}_y") for c in rows.columns))
-        meet = (F.col("shingle_x") == F.col("shingle_y")) & (F.col("c_x") != F.col("c_y")) & (~F.col("odd_y") | (F.col("node_x") < F.col("node_y"))) & alike("n_x", "n_y", self.similarity)
+        meet = (F.col("shingle_x") == F.col("shingle_y")) & (F.col("c_x") != F.col("c_y")) & (
+            ~F.col("odd_y") | (F.col("node_x") < F.col("node_y"))
+        ) & alike("n_x", "n_y", self.similarity)
         # a pair is met at its first shared shingle; again only where the shingles before aren't listed
         first = F.col("before_x").isNull() | F.col("before_y").isNull() | ~F.arrays_overlap("before_x", "before_y")
-        pairs = self.reaching(one.join(two, meet & first)).select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y")).distinct()
+        pairs = (
+            self.reaching(one.join(two, meet & first))
+            .select(F.least("node_x", "node_y").alias("x"), F.greatest("node_x", "node_y").alias("y"))
+            .distinct()
+        )
         return self.prefix_matches(self.space.save(pairs, "met-pairs"))
 
     def labelled(self, labels: DataFrame | None) -> DataFrame:
@@ -285,36 +359,82 @@ class Join:
             sets = self.lists.join(known, F.col("node") == F.col("__labelled"), "left").withColumn("c", F.coalesce("__label", "node"))
         members = sets.select("node", "n", "m", "c", "shingles", F.posexplode(F.arrays_zip("shingles", "places")).alias("at", "member"))
         before = F.when(F.col("at") <= BEFORE, F.slice("shingles", F.lit(1), F.col("at")))
-        return members.select("member.shingles", "node", "member.places", "n", "m", (F.col("at") + 1).alias("rank"), before.alias("before"), "c").toDF("shingle", "node", "place", "n", "m", "rank", "before", "c")
+        return members.select(
+            "member.shingles",
+            "node",
+            "member.places",
+            "n",
+            "m",
+            (F.col("at") + 1).alias("rank"),
+            before.alias("before"),
+            "c",
+        ).toDF("shingle", "node", "place", "n", "m", "rank", "before", "c")
 
     def linked(self, links: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
         """The labels after links (x, y) between labelled nodes."""
         if labels is None:
             return components(links, self.space, name)
         at = labels.select(F.col("node").alias("__n"), "c")
-        ends = links.join(at, F.col("x") == F.col("__n"), "left").select(F.coalesce("c", "x").alias("x"), "y").join(at, F.col("y") == F.col("__n"), "left").select("x", F.coalesce("c", "y").alias("y"))
+        ends = (
+            links.join(at, F.col("x") == F.col("__n"), "left")
+            .select(F.coalesce("c", "x").alias("x"), "y")
+            .join(at, F.col("y") == F.col("__n"), "left")
+            .select("x", F.coalesce("c", "y").alias("y"))
+        )
         new = components(ends, self.space, name).select(F.col("node").alias("__n"), F.col("c").alias("to"))
-        every = labels.unionByName(links.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("c")))
-        return self.space.save(every.join(new, F.col("c") == F.col("__n"), "left").select("node", F.coalesce("to", "c").alias("c")), f"{name}-labels")
+        every = labels.unionByName(
+            (
+                links.select(F.explode(F.array("x", "y")).alias("node"))
+                .distinct()
+                .join(labels, "node", "left_anti")
+                .select("node", F.col("node").alias("c"))
+            )
+        )
+        return self.space.save(
+            every.join(new, F.col("c") == F.col("__n"), "left").select("node", F.coalesce("to", "c").alias("c")),
+            f"{name}-labels",
+        )
 
     def labels(self) -> DataFrame | None:
         """(node, c) of the components, for nodes that have a link."""
         labels = None
         for turn in range(ROUNDS):
             rows = self.space.save(self.labelled(labels).drop("before"), f"rows{turn}")
-            counts = rows.groupBy("shingle", "c").count().groupBy("shingle").agg(F.sum("count").alias("sets"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.count("*").alias("labels"))
-            lists = self.space.save(counts.where("labels > 1").select(F.col("shingle").alias("list"), ((F.col("sets") * F.col("sets") - F.col("squares")) / 2).alias("pairs")), f"lists{turn}")
+            counts = (
+                rows.groupBy("shingle", "c")
+                .count()
+                .groupBy("shingle")
+                .agg(F.sum("count").alias("sets"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.count("*").alias("labels"))
+            )
+            lists = self.space.save(
+                counts.where("labels > 1").select(
+                    F.col("shingle").alias("list"),
+                    ((F.col("sets") * F.col("sets") - F.col("squares")) / 2).alias("pairs"),
+                ),
+                f"lists{turn}",
+            )
             pairs, n_lists = lists.agg(F.sum("pairs"), F.count("*")).first()
             if (pairs or 0) <= PAIRS_PER_MEMBER * self.n_members:
                 break
             # twice as many leaders per set as in the round before, for fewer sets
-            own = rows.join(small(lists.select("list"), n_lists), F.col("shingle") == F.col("list"), "left_semi").withColumn("seat", F.pmod(F.xxhash64("shingle"), F.lit(2 << turn)))
+            own = rows.join(
+                small(lists.select("list"), n_lists),
+                F.col("shingle") == F.col("list"),
+                "left_semi",
+            ).withColumn("seat", F.pmod(F.xxhash64("shingle"), F.lit(2 << turn)))
             # by turns the set with fewest members of its own before the shingle, which is nearest to the others, or any
             own_members = (F.col("place") - F.col("rank") if turn % 2 == 0 else F.lit(0)).alias("own")
             order = F.xxhash64("node", F.lit(turn), "seat").alias("order")
-            lead = own.groupBy("shingle").agg(F.min(F.struct(own_members, order, F.col("node").alias("y"), F.col("n").alias("k"), F.col("c").alias("d"))).alias("lead"))
+            lead = own.groupBy("shingle").agg(
+                F.min(F.struct(own_members, order, F.col("node").alias("y"), F.col("n").alias("k"), F.col("c").alias("d"))).alias("lead")
+            )
             lead = lead.select(F.col("shingle").alias("__shingle"), "lead.y", "lead.k", "lead.d")
-            met = own.join(lead, F.col("shingle") == F.col("__shingle")).where((F.col("c") != F.col("d")) & alike("n", "k", self.similarity)).select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
+            met = (
+                own.join(lead, F.col("shingle") == F.col("__shingle"))
+                .where((F.col("c") != F.col("d")) & alike("n", "k", self.similarity))
+                .select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y"))
+                .distinct()
+            )
             candidates = self.space.save(self.prefix_matches(met), f"pairs{turn}")
             links = self.verified(candidates, f"turn{turn}")
             n_links, n_candidates = links.count(), candidates.count()
@@ -338,7 +458,10 @@ def components_of_rows(df: DataFrame, id_col: str, text_col: str, shingle: int =
         named = firsts.join(labels, F.col("__node") == F.col("node")).select("__node", "c", "first")
         best = named.groupBy("c").agg(F.min("first").alias("least")).withColumnRenamed("c", "__c")
         linked = named.join(best, F.col("c") == F.col("__c")).select(F.col("__node").alias("__linked"), "least")
-        firsts = firsts.join(linked, F.col("__node") == F.col("__linked"), "left").select("__node", F.coalesce("least", "first").alias("first"))
+        firsts = firsts.join(linked, F.col("__node") == F.col("__linked"), "left").select(
+            "__node",
+            F.coalesce("least", "first").alias("first"),
+        )
     out = join.docs.join(firsts, F.col("node") == F.col("__node"), "left")
     return out.select("id", "t", "n", F.coalesce("first", "id").alias("component"))
 
@@ -362,9 +485,17 @@ def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     join = Join(df, id_col, text_col, shingle, similarity)
     links = join.verified(join.space.save(join.cross_pairs(join.labelled(None)), "pairs"), "last").distinct()
     x, y = (join.firsts.select(F.col("node").alias(f"__{s}"), F.col("first").alias(f"f{s}")) for s in "xy")
-    pairs = links.join(x, F.col("x") == F.col("__x")).join(y, F.col("y") == F.col("__y")).select(F.least("fx", "fy").alias("left_id"), F.greatest("fx", "fy").alias("right_id"), "shared", "size")
+    pairs = (
+        links.join(x, F.col("x") == F.col("__x"))
+        .join(y, F.col("y") == F.col("__y"))
+        .select(F.least("fx", "fy").alias("left_id"), F.greatest("fx", "fy").alias("right_id"), "shared", "size")
+    )
     at = join.firsts.select(F.col("node").alias("__node"), "first")
-    classes = join.docs.join(at, F.col("node") == F.col("__node"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first").alias("class_id"))
+    classes = join.docs.join(at, F.col("node") == F.col("__node"), "left").select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.col("first").alias("class_id"),
+    )
     return pairs, classes
 
 
@@ -372,7 +503,11 @@ def keep_firsts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of df, all columns unchanged, that have the least id of their component (of equal ids all stay)."""
     rows = components_of_rows(df, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("component")))
     gone = Workspace(df.sparkSession, "firsts").save(rows.select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct(), "gone")
-    return carried(df, id_col, text_col).join(small(gone, gone.count()), F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti").select("row.*")
+    return (
+        carried(df, id_col, text_col)
+        .join(small(gone, gone.count()), F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
+        .select("row.*")
+    )
 
 
 def components_sql(source: str = "documents") -> str:

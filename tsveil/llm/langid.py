@@ -187,7 +187,11 @@ def held_out(key: Column, of: int = 4, fold: int = 2) -> Column:
 
 def training_texts(df: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """(language, its text for the automaton) of the bounded sample of df's labelled rows; most frequent language first."""
-    own = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).where("__lang is not null and __text is not null")
+    own = df.select(
+        F.col(id_col).alias("__id"),
+        F.col(text_col).alias("__text"),
+        F.col(lang_col).alias("__lang"),
+    ).where("__lang is not null and __text is not null")
     known = [r[0] for r in own.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").collect()]
     digest = F.xxhash64("__id", "__text")
     order = W.partitionBy("__lang").orderBy(F.col("__n") > chars, F.xxhash64("__id"), "__id", "__hash")
@@ -203,7 +207,11 @@ def training_texts(df: DataFrame, text_col: str, lang_col: str, id_col: str, row
     learned: dict[str, list[str]] = {k: [] for k in known}
     if chosen:
         picked = F.broadcast(df.sparkSession.createDataFrame(chosen, drawn_from.select("__id", "__lang", "__hash").schema))
-        texts = own.withColumn("__hash", digest).join(picked, ["__id", "__lang", "__hash"], "left_semi").dropDuplicates(["__id", "__lang", "__hash"])
+        texts = (
+            own.withColumn("__hash", digest)
+            .join(picked, ["__id", "__lang", "__hash"], "left_semi")
+            .dropDuplicates(["__id", "__lang", "__hash"])
+        )
         for r in texts.select("__id", "__lang", F.substring("__text", 1, chars).alias("__text")).orderBy("__id", "__text").collect():
             learned[r["__lang"]].append(running(r["__text"]))
     return [(k, END.join(v)) for k, v in learned.items() if any(v)]
@@ -222,7 +230,10 @@ def identify(df: DataFrame, texts: list[tuple[str, str]], id_col: str = "doc_id"
         classifier = Classifier(model.value)
         for b in batches:
             found = classifier.predict(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                names=[id_col, "lang_pred", "score"],
+            )
 
     return map_batches(df.select(id_col, text_col), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, lang_pred string, score double")
 

@@ -100,7 +100,11 @@ class Lattice:
         """(start, end, rows, pieces or -bytes of an unknown character) of words (rows, length) by ascending start."""
         n, m = words.shape
         lead = words.astype(np.int16)
-        width = np.where(lead < 0x80, 1, np.where(lead < 0xC0, 0, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, np.where(lead < 0xF8, 4, 1)))))
+        width = np.where(
+            lead < 0x80,
+            1,
+            np.where(lead < 0xC0, 0, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, np.where(lead < 0xF8, 4, 1)))),
+        )
         for s in range(m):
             rows = np.flatnonzero(width[:, s])
             if not len(rows):
@@ -224,7 +228,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
     """
     spark = df.sparkSession
     space = Workspace(spark, "lm")
-    own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")).alias("class"), held_out(F.col(id_col), FOLDS, FOLD).alias("held"))
+    own = df.select(
+        F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"),
+        (F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")).alias("class"),
+        held_out(F.col(id_col), FOLDS, FOLD).alias("held"),
+    )
     names = [r[0] for r in own.where("not held and class is not null").select("class").distinct().orderBy("class").collect()]
     kind = F.lit(len(names))
     if names:
@@ -239,7 +248,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
 
         def flush() -> pa.RecordBatch:
             words = list(set().union(*counters))
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in counters[:n_classes])], names=["word", *columns])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in counters[:n_classes])],
+                names=["word", *columns],
+            )
             for c in counters:
                 c.clear()
             return out
@@ -256,7 +268,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
     table = space.save(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns)), "words")
     every = sum((F.col(c) for c in columns), F.lit(0))
     docs = {r[0]: r[1] for r in own.where("kind >= 0").groupBy("kind").count().collect()}
-    sums = table.agg(*(F.sum(c) for c in columns), *(F.count_if(F.col(c) > 0) for c in columns), F.count_if(every > 0), F.count_if(every == 1), F.count_if(every == 2)).first()
+    sums = table.agg(
+        *(F.sum(c) for c in columns),
+        *(F.count_if(F.col(c) > 0) for c in columns),
+        F.count_if(every > 0),
+        F.count_if(every == 1),
+        F.count_if(every == 2),
+    ).first()
     sums = [int(x or 0) for x in sums]
     totals = Totals([docs.get(k, 0) for k in range(n_classes)], sums[:n_classes], sums[n_classes : 2 * n_classes], *sums[2 * n_classes :])
 
@@ -280,12 +298,21 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
             for k in range(n_classes):
                 uses[:, k] += expected(lattice, weights[:, k], [words[i] for i in np.flatnonzero(counts[:, k])])
         at = np.argwhere(uses > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(uses[at[:, 0], at[:, 1]])], names=["piece", "kind", "uses"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(uses[at[:, 0], at[:, 1]])],
+            names=["piece", "kind", "uses"],
+        )
 
     model = spark.sparkContext.broadcast((pieces, np.repeat(prior[:, None], n_classes, axis=1)))
     for _ in range(EM_STEPS):
         uses = np.zeros((len(pieces), n_classes))
-        found = table.where(every > 0).transform(map_batches, fit, "piece int, kind int, uses double").groupBy("piece", "kind").agg(F.sum("uses").alias("uses")).toArrow()
+        found = (
+            table.where(every > 0)
+            .transform(map_batches, fit, "piece int, kind int, uses double")
+            .groupBy("piece", "kind")
+            .agg(F.sum("uses").alias("uses"))
+            .toArrow()
+        )
         uses[found["piece"].to_numpy(), found["kind"].to_numpy()] = found["uses"].to_numpy()
         model = spark.sparkContext.broadcast((pieces, fitted_weights(prior, uses)))
     logs = [f"p{k}" for k in range(n_classes)]
@@ -296,12 +323,25 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
         for words, counts in gathered(batches):
             p = totals.word(counts, marginals(lattice, weights, words))
             c = counts.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(totals.base(c)), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(n_classes))], names=["word", "c", "base", *logs])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(words, pa.binary()),
+                    pa.array(c),
+                    pa.array(totals.base(c)),
+                    *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(n_classes)),
+                ],
+                names=["word", "c", "base", *logs],
+            )
 
     rated = space.save(map_batches(table, rate, "word binary, c long, base double, " + ", ".join(f"{c} double" for c in logs)), "rated")
     space.drop("words")
     top = rated.orderBy(F.desc("c"), "word").limit(TOP_WORDS).toArrow()
-    sent_top = spark.sparkContext.broadcast(([] if not top.num_rows else top["word"].to_pylist(), np.stack([(top["c"].to_numpy() > 0).astype(float), *(top[c].to_numpy() for c in ["base", *logs])], axis=1)))
+    sent_top = spark.sparkContext.broadcast(
+        (
+            [] if not top.num_rows else top["word"].to_pylist(),
+            np.stack([(top["c"].to_numpy() > 0).astype(float), *(top[c].to_numpy() for c in ["base", *logs])], axis=1),
+        )
+    )
     width = n_classes + 2
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +368,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
             row += len(split)
             # a document's own row has a key that is no word, as it holds a space: it meets nothing in the table
             rare_rows = len(rare)
-            out = [pa.concat_arrays([pa.array(own), pa.array(keys, pa.int64())]), pa.concat_arrays([pa.array([b" %d" % k for k in own], pa.binary()), pa.array(rare, pa.binary())]), pa.concat_arrays([pa.array(np.ones(len(own), np.int64)), pa.array(times, pa.int64())])]
+            out = [
+                pa.concat_arrays([pa.array(own), pa.array(keys, pa.int64())]),
+                pa.concat_arrays([pa.array([b" %d" % k for k in own], pa.binary()), pa.array(rare, pa.binary())]),
+                pa.concat_arrays([pa.array(np.ones(len(own), np.int64)), pa.array(times, pa.int64())]),
+            ]
             out.append(pa.concat_arrays([b.column(0), pa.nulls(rare_rows, b.column(0).type)]))
             out.append(pa.concat_arrays([b.column(2), pa.nulls(rare_rows, pa.bool_())]))
             out.append(pa.concat_arrays([pa.array(sizes + 1), pa.nulls(rare_rows, pa.int64())]))
@@ -337,11 +381,26 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
 
     fields = ["row", "word", "times", "id", "held", "n_tokens", *(f"s{k}" for k in range(width))]
     id_kind = dict(df.dtypes)[id_col]
-    parts = map_batches(own.select("id", "text", "held"), add, f"row long, word binary, times long, id {id_kind}, held boolean, n_tokens long, " + ", ".join(f"s{k} double" for k in range(width)))
+    parts = map_batches(
+        own.select("id", "text", "held"),
+        add,
+        f"row long, word binary, times long, id {id_kind}, held boolean, n_tokens long, " + ", ".join(f"s{k} double" for k in range(width)),
+    )
     joined = parts.join(rated.withColumnRenamed("word", "__word"), F.col("word") == F.col("__word"), "left")
-    weigh = [F.sum(F.coalesce(F.col(f"s{k}"), F.col("times") * c)) for k, c in enumerate([(F.col("c") > 0).cast("double"), F.col("base"), *map(F.col, logs)])]
-    summed = joined.groupBy("row").agg(F.max("id").alias("id"), F.max("held").alias("held"), F.max("n_tokens").alias("n_tokens"), *(w.alias(f"s{k}") for k, w in enumerate(weigh)))
-    each = [F.col(f"s{k + 2}") + F.lit(float(e)) + F.lit(float(s)) for k, (e, s) in enumerate(zip(totals.end(), totals.share(), strict=True))]
+    weigh = [
+        F.sum(F.coalesce(F.col(f"s{k}"), F.col("times") * c)) for k, c in enumerate(
+            [(F.col("c") > 0).cast("double"), F.col("base"), *map(F.col, logs)]
+        )
+    ]
+    summed = joined.groupBy("row").agg(
+        F.max("id").alias("id"),
+        F.max("held").alias("held"),
+        F.max("n_tokens").alias("n_tokens"),
+        *(w.alias(f"s{k}") for k, w in enumerate(weigh)),
+    )
+    each = [
+        F.col(f"s{k + 2}") + F.lit(float(e)) + F.lit(float(s)) for k, (e, s) in enumerate(zip(totals.end(), totals.share(), strict=True))
+    ]
     best = F.greatest(*each) if len(each) > 1 else each[0]
     known_end, end_base = int(sum(totals.docs) > 0), float(totals.base(sum(totals.docs)))
     return summed.select(

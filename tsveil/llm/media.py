@@ -227,7 +227,10 @@ def shrink(grey: np.ndarray, side: int = SIDE) -> np.ndarray:
         edges = np.arange(side + 1) * n / side
         whole = np.minimum(edges.astype(np.int64), n - 1)
         part = (edges - whole).reshape((-1, 1) if axis == 0 else (1, -1))
-        sums = np.stack([(grey[a:b] if axis == 0 else grey[:, a:b]).sum(axis=axis, dtype=np.float64) for a, b in pairwise(whole)], axis=axis)
+        sums = np.stack(
+            [(grey[a:b] if axis == 0 else grey[:, a:b]).sum(axis=axis, dtype=np.float64) for a, b in pairwise(whole)],
+            axis=axis,
+        )
         total = np.concatenate([np.zeros_like(sums.take([0], axis)), np.cumsum(sums, axis=axis)], axis=axis)
         grey = np.diff(total + part * grey.take(whole, axis), axis=axis) * side / n
     return np.asarray(grey, np.float64)
@@ -270,7 +273,10 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(*(features(media.as_py()) for media in b.column(2)), strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(rows, types, strict=True))],
+                names=names,
+            )
 
     names = [id_col, *(x.split()[0] for x in SCHEMA.split(", "))]
     types = [pa.int64() if x.endswith("long") else pa.string() for x in SCHEMA.split(", ")[1:]]
@@ -290,9 +296,16 @@ def image_features(df: DataFrame, media_col: str, id_col: str) -> DataFrame:
                 except MediaError as e:
                     out.append((None, None, None, None, str(e)))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 3 + [pa.string()] * 2, strict=True))], names=[id_col, "width", "height", "bands", "feature", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 3 + [pa.string()] * 2, strict=True))],
+                names=[id_col, "width", "height", "bands", "feature", "error"],
+            )
 
-    return map_batches(df.select(id_col, media_col), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, width int, height int, bands int, feature string, error string")
+    return map_batches(
+        df.select(id_col, media_col),
+        run,
+        f"`{id_col}` {dict(df.dtypes)[id_col]}, width int, height int, bands int, feature string, error string",
+    )
 
 
 def store_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,6 +315,9 @@ def store_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             texts = [t or b"" for t in utf8(b.column(1))]
             media = pa.array([encode_png(payload_image(t)) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, texts)), pa.int64()), media], names=[id_col, "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(list(map(len, texts)), pa.int64()), media],
+                names=[id_col, "n_bytes", "media"],
+            )
 
     return map_batches(df.select(id_col, text_col), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, n_bytes long, media binary")

@@ -87,11 +87,25 @@ def pack(df: DataFrame, tokens: Column, id_col: str = "doc_id", budget: int = BU
         lanes = F.when(inside, F.lit(-(-held[k] // LANE_ROWS))).otherwise(lanes)
     name = F.concat_ws(":", F.coalesce(F.col("__id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"))
     lane = F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("bigint"), lanes.cast("bigint"))
-    placed = rows.select("__id", "n_tokens", bucket.cast("bigint").alias("bucket"), boundary.cast("bigint").alias("boundary"), lane.alias("lane"))
+    placed = rows.select(
+        "__id",
+        "n_tokens",
+        bucket.cast("bigint").alias("bucket"),
+        boundary.cast("bigint").alias("boundary"),
+        lane.alias("lane"),
+    )
     at = F.row_number().over(W.partitionBy("bucket", "lane").orderBy("n_tokens", "__id")) - 1
     full = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("boundary"))).cast("bigint")
     numbered = placed.withColumn("__at", at)
-    return numbered.select(F.col("__id").alias(id_col), "n_tokens", "bucket", "boundary", "lane", F.floor(F.col("__at") / full).cast("bigint").alias("batch"), (F.col("__at") % full).cast("bigint").alias("slot"))
+    return numbered.select(
+        F.col("__id").alias(id_col),
+        "n_tokens",
+        "bucket",
+        "boundary",
+        "lane",
+        F.floor(F.col("__at") / full).cast("bigint").alias("batch"),
+        (F.col("__at") % full).cast("bigint").alias("slot"),
+    )
 
 
 def pack_documents(df: DataFrame, text_col: str = "text", **options) -> DataFrame:

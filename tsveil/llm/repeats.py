@@ -85,8 +85,16 @@ def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
     id_kind = dict(df.dtypes)[id_col]
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     digest = F.md5(F.col("text").cast("binary"))
-    texts = own.where("text is not null").select("id", digest.alias("digest")).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    texts = space.save(texts.where("n > 1 and first is not null").select(F.col("digest").alias("__digest"), F.col("first").alias("__first")), "texts")
+    texts = (
+        own.where("text is not null")
+        .select("id", digest.alias("digest"))
+        .groupBy("digest")
+        .agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    )
+    texts = space.save(
+        texts.where("n > 1 and first is not null").select(F.col("digest").alias("__digest"), F.col("first").alias("__first")),
+        "texts",
+    )
     marked = own.withColumn("key", F.xxhash64("id", "text")).join(small(texts, texts.count()), digest == F.col("__digest"), "left")
     marked = marked.select("id", "text", "key", (F.col("__digest").isNotNull() & ~F.col("id").eqNullSafe(F.col("__first"))).alias("copy"))
     sources = marked.where("not copy and text is not null")
@@ -104,10 +112,16 @@ def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
                     keys.append(np.full(len(at), key))
                     places.append(at.astype(np.int32))
             if found:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["anchor", "key", "place"])
+                yield pa.RecordBatch.from_arrays(
+                    [signed(np.concatenate(found)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))],
+                    names=["anchor", "key", "place"],
+                )
 
     anchors = space.save(map_batches(sources.select("key", "text"), seed, "anchor long, key long, place int"), "anchors")
-    shared = space.save(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("__anchor")), "shared")
+    shared = space.save(
+        anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("__anchor")),
+        "shared",
+    )
     met = anchors.join(keyed(shared), F.col("anchor") == F.col("__anchor"), "left_semi")
     places = space.save(met.groupBy("key").agg(F.collect_set("place").alias("places")).withColumnRenamed("key", "__key"), "places")
     space.drop("anchors", "shared")
@@ -136,21 +150,40 @@ def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
             if out:
                 g, one, two, which, runs, again = (np.concatenate(x) for x in zip(*out, strict=True))
                 take = pa.array(which)
-                yield pa.RecordBatch.from_arrays([signed(g), signed(one), signed(two), b.column(0).take(take), b.column(1).take(take), pa.array(runs), pa.array(again)], names=["anchor", "a", "b", "id", "key", "run", "again"])
+                yield pa.RecordBatch.from_arrays(
+                    [signed(g), signed(one), signed(two), b.column(0).take(take), b.column(1).take(take), pa.array(runs), pa.array(again)],
+                    names=["anchor", "a", "b", "id", "key", "run", "again"],
+                )
 
     seeded = sources.join(few(places, "places"), F.col("key") == F.col("__key")).select("id", "key", "text", "places")
-    contexts = space.save(map_batches(seeded, extend, f"anchor long, a long, b long, id {id_kind}, key long, run long, again boolean"), "contexts")
+    contexts = space.save(
+        map_batches(seeded, extend, f"anchor long, a long, b long, id {id_kind}, key long, run long, again boolean"),
+        "contexts",
+    )
     space.drop("places")
     own_again = contexts.where("again").select("key", "id", "run")
     contexts = contexts.where("not again")
     earliest = contexts.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("anchor").alias("anchor"))
-    several = contexts.select("anchor", "a").groupBy("anchor").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select(F.col("anchor").alias("__anchor"), F.lit(True).alias("several"))
+    several = (
+        contexts.select("anchor", "a")
+        .groupBy("anchor")
+        .agg(F.min("a").alias("low"), F.max("a").alias("high"))
+        .where("low <> high")
+        .select(F.col("anchor").alias("__anchor"), F.lit(True).alias("several"))
+    )
     ranked = earliest.join(several, F.col("anchor") == F.col("__anchor"), "left").where("n > 1 or several")
     ranked = ranked.select(F.col("a").alias("__a"), F.col("b").alias("__b"), "least", F.coalesce("several", F.lit(False)).alias("several"))
     later = F.col("least").isNotNull() & ~F.col("id").eqNullSafe(F.col("least"))
-    placed = contexts.join(ranked, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).select("key", "id", "run", later.alias("later"), "several").where("later or several")
+    placed = (
+        contexts.join(ranked, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")))
+        .select("key", "id", "run", later.alias("later"), "several")
+        .where("later or several")
+    )
     placed = space.save(placed, "placed")
-    singles = space.save(placed.where("not later").groupBy("key").agg(F.collect_set("run").alias("runs")).withColumnRenamed("key", "__key"), "singles")
+    singles = space.save(
+        placed.where("not later").groupBy("key").agg(F.collect_set("run").alias("runs")).withColumnRenamed("key", "__key"),
+        "singles",
+    )
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hasher = Words(lower=False), SpanHash()
@@ -170,14 +203,39 @@ def repeated_runs(df: DataFrame, space: Workspace, id_col: str, text_col: str, l
             if out:
                 one, two, which, runs, again = (np.concatenate(x) for x in zip(*out, strict=True))
                 take = pa.array(which)
-                yield pa.RecordBatch.from_arrays([signed(one), signed(two), b.column(0).take(take), b.column(1).take(take), pa.array(runs), pa.array(again)], names=["a", "b", "id", "key", "run", "again"])
+                yield pa.RecordBatch.from_arrays(
+                    [signed(one), signed(two), b.column(0).take(take), b.column(1).take(take), pa.array(runs), pa.array(again)],
+                    names=["a", "b", "id", "key", "run", "again"],
+                )
 
     seeded = sources.join(few(singles, "runs"), F.col("key") == F.col("__key")).select("id", "key", "text", "runs")
     windows = space.save(map_batches(seeded, windows_of, f"a long, b long, id {id_kind}, key long, run long, again boolean"), "windows")
-    least = windows.where("not again").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1").select(F.col("a").alias("__a"), F.col("b").alias("__b"), "least")
-    repeated = windows.where("not again").join(least, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b"))).where(later).select("key", "id", "run")
-    every = own_again.unionByName(placed.where("later").select("key", "id", "run")).unionByName(windows.where("again").select("key", "id", "run")).unionByName(repeated)
-    runs = space.save(every.groupBy("key", "id").agg(F.collect_set("run").alias("runs")).select(F.col("key").alias("__key"), F.col("id").alias("__id"), "runs"), "runs")
+    least = (
+        windows.where("not again")
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        .where("n > 1")
+        .select(F.col("a").alias("__a"), F.col("b").alias("__b"), "least")
+    )
+    repeated = (
+        windows.where("not again")
+        .join(least, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")))
+        .where(later)
+        .select("key", "id", "run")
+    )
+    every = (
+        own_again.unionByName(placed.where("later").select("key", "id", "run"))
+        .unionByName(windows.where("again").select("key", "id", "run"))
+        .unionByName(repeated)
+    )
+    runs = space.save(
+        (
+            every.groupBy("key", "id")
+            .agg(F.collect_set("run").alias("runs"))
+            .select(F.col("key").alias("__key"), F.col("id").alias("__id"), "runs")
+        ),
+        "runs",
+    )
     space.drop("contexts", "placed", "singles", "windows")
     return marked, runs
 
@@ -238,17 +296,35 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 removed.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 runs.append([] if lost is None else spans(lost))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(runs, pa.list_(pa.list_(pa.int32())))], names=[id_col, "n_words", "n_removed", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.array(n, pa.int64()),
+                    pa.array(removed, pa.int64()),
+                    pa.array(digests, pa.string()),
+                    pa.array(runs, pa.list_(pa.list_(pa.int32()))),
+                ],
+                names=[id_col, "n_words", "n_removed", "kept_sha256", "spans"],
+            )
 
     rows = with_runs(marked, found).select("id", "text", "copy", "runs")
-    return map_batches(rows, run, f"`{id_col}` {dict(df.dtypes)[id_col]}, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>")
+    return map_batches(
+        rows,
+        run,
+        f"`{id_col}` {dict(df.dtypes)[id_col]}, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>",
+    )
 
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
     """df with the repeats cut out of its texts (remove_repeats() says which), and their characters counted anew in count_col; other columns unchanged."""
     space = Workspace(df.sparkSession, "cut")
     marked, found = repeated_runs(df, space, id_col, text_col, length)
-    cuts = with_runs(marked, found).where("copy or runs is not null").select(F.col("key").alias("__k"), "copy", "runs").dropDuplicates(["__k"])
+    cuts = (
+        with_runs(marked, found)
+        .where("copy or runs is not null")
+        .select(F.col("key").alias("__k"), "copy", "runs")
+        .dropDuplicates(["__k"])
+    )
     cuts = space.save(cuts, "cuts")
     met = carried(df, id_col, text_col).join(few(cuts, "runs"), F.xxhash64("id", "text") == F.col("__k"), "left")
     joined = met.select("row.*", F.coalesce("copy", F.lit(False)).alias("__copy"), F.col("runs").alias("__runs"))

@@ -63,7 +63,11 @@ def place(df: DataFrame, key: str = "doc_id", shards: list[str] | int = SHARDS,
         F.col("slot").cast("bigint").alias("slot"), F.element_at(F.array(*map(F.lit, names)), F.col("owner").cast("int") + 1).alias("shard")
     )
     placed = df.select(F.col(key), slot_of(F.col(key), slots).alias("__slot"))
-    return placed.join(F.broadcast(table.withColumnRenamed("slot", "__at")), F.col("__slot") == F.col("__at"), "left").select(F.col(key), F.col("__slot").alias("slot"), "shard")
+    return placed.join(
+        F.broadcast(table.withColumnRenamed("slot", "__at")),
+        F.col("__slot") == F.col("__at"),
+        "left",
+    ).select(F.col(key), F.col("__slot").alias("slot"), "shard")
 
 
 def placement_sql(shards: int = SHARDS, slots: int = SLOTS) -> str:

@@ -80,6 +80,9 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 tokens.append(sum(f[1] for f in found))
                 words.append(len(found))
                 scores.append(sum(f[0] for f in found) if found else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(words, pa.int64()), pa.array(scores, pa.float64())], names=[id_col, "n_tokens", "n_words", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(tokens, pa.int64()), pa.array(words, pa.int64()), pa.array(scores, pa.float64())],
+                names=[id_col, "n_tokens", "n_words", "score"],
+            )
 
     return map_batches(df.select(id_col, text_col), run, f"`{id_col}` {dict(df.dtypes)[id_col]}, {SCHEMA}")

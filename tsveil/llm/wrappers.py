@@ -56,11 +56,24 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
+ENDS_ITSELF = {
+    "li": {"li"},
+    "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"},
+    "option": {"option"},
+    "tr": {"tr", "td", "th"},
+    "td": {"td", "th"},
+    "th": {"td", "th"},
+    "thead": {"tr", "td", "th"},
+    "tbody": {"thead", "tbody", "tr", "td", "th"},
+    "tfoot": {"thead", "tbody", "tr", "td", "th"},
+}
 #: How far up an element looks for one that it ends.
 LIMITS = set("ul ol dl table div article section main body html aside nav header footer form td th select".split())
 #: Page furniture by tag, and by words of class, id and role.
-FURNITURE = set("nav footer aside form script style noscript template iframe button select textarea input svg head dialog menu object canvas audio video fieldset".split())
+FURNITURE = set(
+    "nav footer aside form script style noscript template iframe button select textarea input svg head dialog menu object canvas audio video fieldset".split()
+)
 FURNITURE_NAMES = set(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu header masthead footer sidebar aside complementary "
     "contentinfo cookie cookies consent gdpr notice notification alert popup modal overlay comment comments disqus respond reply replies share sharing social related recommended breadcrumb "
@@ -72,7 +85,10 @@ WHOLE = {"html", "body", "main"}
 ID_NAMES = set("div section ul ol dl table header".split())
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S)
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""",
+    re.S,
+)
 
 
 class Node:
@@ -353,15 +369,26 @@ def template_texts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(host, frame, least, lead, body, t) for host, page in zip(*(c.to_pylist() for c in b.columns), strict=True) if page for frame, least, lead, body, texts in [evidence(page)] for t in (PAGE, *texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 6, [pa.string(), *[pa.int64()] * 5], strict=True)], names=["host", "frame", "least", "lead", "body", "t"])
+            out = [
+                (host, frame, least, lead, body, t) for host, page in zip(
+                    *(c.to_pylist() for c in b.columns),
+                    strict=True,
+                ) if page for frame, least, lead, body, texts in [evidence(page)] for t in (PAGE, *texts)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 6, [pa.string(), *[pa.int64()] * 5], strict=True)],
+                names=["host", "frame", "least", "lead", "body", "t"],
+            )
 
     rows = map_batches(pages.select("host", "html"), run, "host string, frame long, least long, lead long, body long, t long").distinct()
     maps = [F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(lead, {b}) & 63 as int))")).alias(f"map{b}") for b in BITMAPS]
     counted = rows.groupBy("host", "frame", "least", "t").agg(F.count("*").alias("n"), *maps).where(F.col("n") >= F.col("least"))
     counted = counted.select("host", "frame", "least", "t", "n", F.greatest(*(F.bit_count(f"map{b}") for b in BITMAPS)).alias("leads"))
     # a frame's pages and its texts meet in one aggregate
-    of_frame = counted.groupBy("host", "frame", "least").agg(F.max(F.when(F.col("t") == PAGE, F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("t") != PAGE, F.struct("t", "n", "leads"))).alias("all"))
+    of_frame = counted.groupBy("host", "frame", "least").agg(
+        F.max(F.when(F.col("t") == PAGE, F.col("n"))).alias("pages"),
+        F.collect_list(F.when(F.col("t") != PAGE, F.struct("t", "n", "leads"))).alias("all"),
+    )
     kept = "transform(filter(all, x -> (x.leads >= least and x.n >= {s} * pages) or (pages >= {p} and 2 * x.n > pages)), x -> x.t)".format(s=SHARE, p=FRAME_PAGES)
     return of_frame.select("host", "frame", F.expr(kept).alias("texts")).where(F.size("texts") > 0)
 
@@ -419,26 +446,74 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     marked article) can't be told from copies of an article: then only markup tells furniture from content. Other columns aren't read.
     """
     NO_TEXTS = F.lit(None).cast("array<bigint>").alias("texts")
-    own = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
+    own = df.select(
+        F.col(id_col).alias("id"),
+        F.col(url_col).alias("url"),
+        F.col(html_col).alias("html"),
+    ).withColumn("host", host_of(F.col("url")))
     keyed = own.where("html is not null").select("host", F.md5(F.col("html").cast("binary")).alias("hash"))
-    ranked = keyed.groupBy("host", "hash").count().withColumn("at", F.row_number().over(W.partitionBy("host").orderBy("hash"))).where(F.col("at") <= EXEMPLARS)
+    ranked = (
+        keyed.groupBy("host", "hash")
+        .count()
+        .withColumn("at", F.row_number().over(W.partitionBy("host").orderBy("hash")))
+        .where(F.col("at") <= EXEMPLARS)
+    )
     space = Workspace(df.sparkSession, "main_text")
     picked = space.save(ranked.select(F.col("host").alias("__host"), F.col("hash").alias("__hash")), "picked")
     # lanes: only hosts of more than LANE_ROWS pages have more than one, so there are few of those
-    many = own.groupBy("host").count().where(F.col("count") > LANE_ROWS).select(F.col("host").alias("__h"), F.ceil(F.col("count") / LANE_ROWS).cast("int").alias("lanes"))
+    many = (
+        own.groupBy("host")
+        .count()
+        .where(F.col("count") > LANE_ROWS)
+        .select(F.col("host").alias("__h"), F.ceil(F.col("count") / LANE_ROWS).cast("int").alias("lanes"))
+    )
     many = space.save(many, "many")
     lanes = small(many, many.count())
     pages = own.join(lanes, F.col("host") == F.col("__h"), "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
     n_picked = picked.count()
     same = (F.col("host") == F.col("__host")) & (F.md5(F.col("html").cast("binary")) == F.col("__hash"))
-    examples = pages.join(small(picked, n_picked), same).groupBy("host", "__hash").agg(F.max("lanes").alias("lanes"), F.any_value("html").alias("html"))
-    examples = examples.select("host", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("kind"), F.col("__hash").alias("hash"), F.lit(None).cast(dict(df.dtypes)[id_col]).alias("id"), F.lit(None).cast("string").alias("url"), "html", NO_TEXTS, F.lit(None).cast("bigint").alias("frame"))
+    examples = (
+        pages.join(small(picked, n_picked), same)
+        .groupBy("host", "__hash")
+        .agg(F.max("lanes").alias("lanes"), F.any_value("html").alias("html"))
+    )
+    examples = examples.select(
+        "host",
+        F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"),
+        F.lit(0).alias("kind"),
+        F.col("__hash").alias("hash"),
+        F.lit(None).cast(dict(df.dtypes)[id_col]).alias("id"),
+        F.lit(None).cast("string").alias("url"),
+        "html",
+        NO_TEXTS,
+        F.lit(None).cast("bigint").alias("frame"),
+    )
     template = space.save(template_texts(own), "template")
     n_template = template.count()
     of_host = own.groupBy("host").agg(F.ceil(F.count("*") / LANE_ROWS).cast("int").alias("lanes")).withColumnRenamed("host", "__host")
     known = of_host.join(small(template, n_template), F.col("__host") == F.col("host"))
-    known = known.select("host", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("kind"), F.lit("").alias("hash"), F.lit(None).cast(dict(df.dtypes)[id_col]).alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "texts", "frame")
-    rows = pages.select("host", F.pmod(F.xxhash64("id", "url", F.length("html")), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("kind"), F.lit("").alias("hash"), "id", "url", "html", NO_TEXTS, F.lit(None).cast("bigint").alias("frame"))
+    known = known.select(
+        "host",
+        F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"),
+        F.lit(0).alias("kind"),
+        F.lit("").alias("hash"),
+        F.lit(None).cast(dict(df.dtypes)[id_col]).alias("id"),
+        F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("html"),
+        "texts",
+        "frame",
+    )
+    rows = pages.select(
+        "host",
+        F.pmod(F.xxhash64("id", "url", F.length("html")), F.col("lanes")).cast("int").alias("lane"),
+        F.lit(1).alias("kind"),
+        F.lit("").alias("hash"),
+        "id",
+        "url",
+        "html",
+        NO_TEXTS,
+        F.lit(None).cast("bigint").alias("frame"),
+    )
     streams = examples.unionByName(known).unionByName(rows).repartition("host", "lane").sortWithinPartitions("host", "lane", "kind", "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,6 +535,9 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts.append(wrapper.extract(page))
                 places.append(i)
             at = pa.array(places, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), b.column(5).take(at), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(at), b.column(5).take(at), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+                names=[id_col, url_col, "text", "n_chars"],
+            )
 
     return map_batches(streams, run, f"`{id_col}` {dict(df.dtypes)[id_col]}, `{url_col}` string, text string, n_chars long")
