@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 def envelopes(rows: DataFrame, length: int, *keys: str) -> DataFrame:
     """(keys, n, lo, hi) per group: one aggregation with a least and a greatest value per position, all summed map-side."""
     at = [F.get("series", F.lit(k)) for k in range(length)]
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.min(x).alias(f"lo{k}") for k, x in enumerate(at)), *(F.max(x).alias(f"hi{k}") for k, x in enumerate(at)))
-    return found.select(*keys, "n", F.array(*(f"lo{k}" for k in range(length))).alias("lo"), F.array(*(f"hi{k}" for k in range(length))).alias("hi"))
+    found = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        *(F.min(x).alias(f"lo{k}") for k, x in enumerate(at)),
+        *(F.max(x).alias(f"hi{k}") for k, x in enumerate(at)),
+    )
+    return found.select(
+        *keys,
+        "n",
+        F.array(*(f"lo{k}" for k in range(length))).alias("lo"),
+        F.array(*(f"hi{k}" for k in range(length))).alias("hi"),
+    )
 
 
 def certainty_penalty(n: Column, lo: Column, hi: Column, dom_min: Column, dom_max: Column) -> Column:
@@ -29,7 +38,10 @@ def global_value_loss(groups: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: total value loss of the groups (n, lo, hi), and its mean over all rows, suppressed ones included."""
     n = rows.agg(F.count("*").alias("rows"))
     total = groups.agg(F.coalesce(F.sum(value_loss(F.col("n"), F.col("lo"), F.col("hi"))), F.lit(0.0)).alias("total"))
-    return total.crossJoin(F.broadcast(n)).select(F.col("total").alias("tot_value_loss"), (F.col("total") / F.col("rows")).alias("avg_value_loss"))
+    return total.crossJoin(F.broadcast(n)).select(
+        F.col("total").alias("tot_value_loss"),
+        (F.col("total") / F.col("rows")).alias("avg_value_loss"),
+    )
 
 
 def whole_number(x: Column) -> Column:
@@ -39,7 +51,15 @@ def whole_number(x: Column) -> Column:
 
 def envelope_texts(lo: Column, hi: Column) -> Column:
     """[lo|hi] of each position."""
-    return F.transform(F.arrays_zip(lo.alias("l"), hi.alias("h")), lambda z: F.concat(F.lit("["), whole_number(z["l"]), F.lit("|"), whole_number(z["h"]), F.lit("]")))
+    return F.transform(
+        F.arrays_zip(lo.alias("l"), hi.alias("h")), lambda z: F.concat(
+            F.lit("["),
+            whole_number(z["l"]),
+            F.lit("|"),
+            whole_number(z["h"]),
+            F.lit("]"),
+        )
+    )
 
 
 def parse_envelope(text: Column) -> Column:

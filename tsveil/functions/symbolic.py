@@ -33,8 +33,15 @@ def znorm(series: Column, threshold: float = FLAT) -> Column:
     """(x - mean) / population standard deviation; unchanged if the deviation is under the threshold."""
     mean = total(series) / F.size(series)
     # arrays of one struct bind mean and deviation, so that each is found once per row
-    centred = F.transform(F.array(mean), lambda m: F.struct(m.alias("m"), F.sqrt(total(F.transform(series, lambda x: (x - m) * (x - m))) / F.size(series)).alias("d")))
-    bound = F.transform(centred, lambda p: F.when(p["d"] < threshold, series).otherwise(F.transform(series, lambda x: (x - p["m"]) / p["d"])))
+    centred = F.transform(
+        F.array(mean), lambda m: F.struct(
+            m.alias("m"),
+            F.sqrt(total(F.transform(series, lambda x: (x - m) * (x - m))) / F.size(series)).alias("d"),
+        )
+    )
+    bound = F.transform(
+        centred, lambda p: F.when(p["d"] < threshold, series).otherwise(F.transform(series, lambda x: (x - p["m"]) / p["d"]))
+    )
     return bound[0]
 
 
@@ -76,7 +83,9 @@ def reconstruct(pattern: Column, level: int | None = None) -> Column:
     table = F.array(*(F.array(*map(F.lit, medians(a))) for a in range(1, MAX_ALPHABET + 1)))
     indexes = letter_indexes(pattern)
     row = table[level - 1] if level else F.element_at(table, F.array_max(indexes) + 1)
-    pair = F.transform(F.array(F.struct(row.alias("t"), indexes.alias("i"))), lambda p: F.transform(p["i"], lambda i: F.element_at(p["t"], i + 1)))
+    pair = F.transform(
+        F.array(F.struct(row.alias("t"), indexes.alias("i"))), lambda p: F.transform(p["i"], lambda i: F.element_at(p["t"], i + 1))
+    )
     return pair[0]
 
 

@@ -27,7 +27,11 @@ def with_patterns(table: SeriesTable, w: int) -> DataFrame:
 
 def classes(rows: DataFrame, root: Column | None = None) -> DataFrame:
     """(root, s1..s6, n, first): rows of equal patterns under one root; first is their least id."""
-    return rows.select((root if root is not None else F.lit("r")).cast("string").alias("root"), *PATTERNS, "id").groupBy("root", *PATTERNS).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return (
+        rows.select((root if root is not None else F.lit("r")).cast("string").alias("root"), *PATTERNS, "id")
+        .groupBy("root", *PATTERNS)
+        .agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    )
 
 
 def same_run(level: Column) -> Column:
@@ -53,7 +57,11 @@ def split(found: DataFrame, p: int, space: Workspace) -> DataFrame:
     for level in range(1, LAST_LEVEL):
         child = f"s{level + 1}"
         per = open_.groupBy("node", F.col(child).alias("child")).agg(F.sum("n").alias("c"))
-        shares = [F.max("c").alias("largest"), F.sum("c").alias("rows"), F.sum(F.when(F.col("c") < p, F.col("c")).otherwise(0)).alias("rest")]
+        shares = [
+            F.max("c").alias("largest"),
+            F.sum("c").alias("rows"),
+            F.sum(F.when(F.col("c") < p, F.col("c")).otherwise(0)).alias("rest"),
+        ]
         nodes = per.groupBy("node").agg(*shares)
         same = open_.groupBy("node").agg(*((F.min(f"s{a}") == F.max(f"s{a}")).alias(f"same{a}") for a in range(2, MAX_ALPHABET + 1)))
         known = per.join(nodes.join(same, "node"), "node").withColumnsRenamed({"node": "node_", "child": "child_"})
@@ -67,8 +75,21 @@ def split(found: DataFrame, p: int, space: Workspace) -> DataFrame:
         run = same_run(F.lit(level))
         new_level = F.when(few, F.lit(level)).when(small_node, run).when(stays | merged, F.lit(level)).otherwise(F.lit(level + 1))
         new_pr = F.when(~few & small_node & (run > level), pattern_at(run)).when(rest, F.col(child)).otherwise(F.col("pr"))
-        new_node = F.when(few | small_node | stays, F.col("node")).when(merged, F.concat("node", F.lit("/tb"))).otherwise(F.concat("node", F.lit("/"), F.col(child)))
-        step = at.select("root", *PATTERNS, "n", "first", new_node.alias("node"), new_level.alias("level"), new_pr.alias("pr"), status.alias("status"))
+        new_node = (
+            F.when(few | small_node | stays, F.col("node"))
+            .when(merged, F.concat("node", F.lit("/tb")))
+            .otherwise(F.concat("node", F.lit("/"), F.col(child)))
+        )
+        step = at.select(
+            "root",
+            *PATTERNS,
+            "n",
+            "first",
+            new_node.alias("node"),
+            new_level.alias("level"),
+            new_pr.alias("pr"),
+            status.alias("status"),
+        )
         step = space.save(step, f"step{level}")
         done.append(step.where("status <> 'open'"))
         open_ = step.where("status = 'open'").select(*out)
@@ -81,7 +102,11 @@ def split(found: DataFrame, p: int, space: Workspace) -> DataFrame:
 
 def maximize(rows: DataFrame, node: str, level: int) -> DataFrame:
     """(node, n, level, pr) of each node: its level raised while all its rows share one pattern."""
-    found = rows.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("n"), *(F.min(f"s{a}").alias(f"m{a}") for a in range(1, MAX_ALPHABET + 1)), *((F.min(f"s{a}") == F.max(f"s{a}")).alias(f"same{a}") for a in range(2, MAX_ALPHABET + 1)))
+    found = rows.groupBy(F.col(node).alias("node")).agg(
+        F.count("*").alias("n"),
+        *(F.min(f"s{a}").alias(f"m{a}") for a in range(1, MAX_ALPHABET + 1)),
+        *((F.min(f"s{a}") == F.max(f"s{a}")).alias(f"same{a}") for a in range(2, MAX_ALPHABET + 1)),
+    )
     return found.withColumn("level", same_run(F.lit(level))).select("node", "n", "level", pattern_at(F.col("level"), "m").alias("pr"))
 
 
@@ -89,7 +114,15 @@ def nodes_of(leaves: DataFrame, status: str) -> DataFrame:
     """(root, node, level, pr, n, first and f1..f6, the patterns of the first row) of the leaves of one status."""
     first = F.min(F.struct("first", *PATTERNS)).alias("f")
     found = leaves.where(F.col("status") == status).groupBy("root", "node", "level", "pr").agg(F.sum("n").alias("n"), first)
-    return found.select("root", "node", "level", "pr", "n", F.col("f.first").alias("first"), *(F.col(f"f.s{a}").alias(f"f{a}") for a in range(1, MAX_ALPHABET + 1)))
+    return found.select(
+        "root",
+        "node",
+        "level",
+        "pr",
+        "n",
+        F.col("f.first").alias("first"),
+        *(F.col(f"f.s{a}").alias(f"f{a}") for a in range(1, MAX_ALPHABET + 1)),
+    )
 
 
 def merge_bad(leaves: DataFrame) -> DataFrame:
@@ -98,13 +131,42 @@ def merge_bad(leaves: DataFrame) -> DataFrame:
     Of equally near ones the one of fewer rows (before merging), then of the least node name. Leaves of a root are as
     many as its rows at most, and roots are k-groups here, so pairs stay few. A root without a good leaf raises no error: its rows stay bad.
     """
-    good = nodes_of(leaves, "good").select("root", F.col("node").alias("to"), F.col("level").alias("to_level"), F.col("pr").alias("to_pr"), F.col("n").alias("size"))
+    good = nodes_of(leaves, "good").select(
+        "root",
+        F.col("node").alias("to"),
+        F.col("level").alias("to_level"),
+        F.col("pr").alias("to_pr"),
+        F.col("n").alias("size"),
+    )
     bad = nodes_of(leaves, "bad").select("root", "node", "level", "pr")
-    best = bad.join(good, "root").groupBy("root", "node", "level", "pr").agg(F.min(F.struct(hamming(F.col("pr"), F.col("to_pr")).alias("d"), "size", "to", "to_level", "to_pr")).alias("b"))
-    moved = best.select(F.col("root").alias("root_"), F.col("node").alias("node_"), F.col("level").alias("level_"), F.col("pr").alias("pr_"), "b.to", "b.to_level", "b.to_pr")
-    same = (F.col("status") == "bad") & (F.col("root") == F.col("root_")) & (F.col("node") == F.col("node_")) & (F.col("level") == F.col("level_")) & (F.col("pr") == F.col("pr_"))
+    best = (
+        bad.join(good, "root")
+        .groupBy("root", "node", "level", "pr")
+        .agg(F.min(F.struct(hamming(F.col("pr"), F.col("to_pr")).alias("d"), "size", "to", "to_level", "to_pr")).alias("b"))
+    )
+    moved = best.select(
+        F.col("root").alias("root_"),
+        F.col("node").alias("node_"),
+        F.col("level").alias("level_"),
+        F.col("pr").alias("pr_"),
+        "b.to",
+        "b.to_level",
+        "b.to_pr",
+    )
+    same = (F.col("status") == "bad") & (F.col("root") == F.col("root_")) & (F.col("node") == F.col("node_")) & (
+        F.col("level") == F.col("level_")
+    ) & (F.col("pr") == F.col("pr_"))
     rows = leaves.join(moved, same, "left")
-    return rows.select("root", *PATTERNS, "n", "first", F.coalesce("to", "node").alias("node"), F.coalesce("to_level", "level").alias("level"), F.coalesce("to_pr", "pr").alias("pr"), F.when(F.col("to").isNotNull(), "good").otherwise(F.col("status")).alias("status"))
+    return rows.select(
+        "root",
+        *PATTERNS,
+        "n",
+        "first",
+        F.coalesce("to", "node").alias("node"),
+        F.coalesce("to_level", "level").alias("level"),
+        F.coalesce("to_pr", "pr").alias("pr"),
+        F.when(F.col("to").isNotNull(), "good").otherwise(F.col("status")).alias("status"),
+    )
 
 
 def recycle(bad: DataFrame, p: int, space: Workspace) -> DataFrame:
@@ -122,11 +184,30 @@ def recycle(bad: DataFrame, p: int, space: Workspace) -> DataFrame:
         if total_of(left) < p:
             break
         # of merged nodes the first row is that of the least id
-        merged = left.where(F.col("level") == level).dropDuplicates(["node", "pr"]).groupBy(F.col("pr").alias("pr_")).agg(F.sum("n").alias("rows"), F.min(F.struct("first", *firsts)).alias("f"))
+        merged = (
+            left.where(F.col("level") == level)
+            .dropDuplicates(["node", "pr"])
+            .groupBy(F.col("pr").alias("pr_"))
+            .agg(F.sum("n").alias("rows"), F.min(F.struct("first", *firsts)).alias("f"))
+        )
         joined = left.where(F.col("level") == level).join(merged, F.col("pr") == F.col("pr_"))
-        good = joined.where(F.col("rows") >= p).select("source", F.concat(F.lit(f"recycled{level}/"), "pr").alias("node"), F.lit(level).alias("level"), "pr", F.lit("good").alias("status"))
+        good = joined.where(F.col("rows") >= p).select(
+            "source",
+            F.concat(F.lit(f"recycled{level}/"), "pr").alias("node"),
+            F.lit(level).alias("level"),
+            "pr",
+            F.lit("good").alias("status"),
+        )
         up = F.struct(F.concat(F.lit(f"up{level}/"), "pr").alias("node"), F.lit(max(1, level - 1)).alias("level"))
-        stay = joined.where(F.col("rows") < p).select("source", up["node"].alias("node"), up["level"].alias("level"), F.col(f"f.f{max(1, level - 1)}").alias("pr"), F.col("rows").alias("n"), F.col("f.first").alias("first"), *(F.col(f"f.{c}").alias(c) for c in firsts))
+        stay = joined.where(F.col("rows") < p).select(
+            "source",
+            up["node"].alias("node"),
+            up["level"].alias("level"),
+            F.col(f"f.f{max(1, level - 1)}").alias("pr"),
+            F.col("rows").alias("n"),
+            F.col("f.first").alias("first"),
+            *(F.col(f"f.{c}").alias(c) for c in firsts),
+        )
         done.append(space.save(good, f"good{level}"))
         left = space.save(left.where(F.col("level") < level).unionByName(stay), f"left{level}")
         if level == 1:
@@ -150,9 +231,18 @@ def value_first_leaves(rows: DataFrame, root: Column, p: int, space: Workspace)
 def pattern_first_leaves(rows: DataFrame, p: int, space: Workspace) -> DataFrame:
     """The classes of the tree over all rows, bad leaves recycled; status good or suppressed."""
     leaves = split(classes(rows), p, space)
-    again = recycle(nodes_of(leaves, "bad").drop("root"), p, space).select(F.col("source").alias("source_"), F.col("node").alias("node_"), F.col("level").alias("level_"), F.col("pr").alias("pr_"), F.col("status").alias("status_"))
+    again = recycle(nodes_of(leaves, "bad").drop("root"), p, space).select(
+        F.col("source").alias("source_"),
+        F.col("node").alias("node_"),
+        F.col("level").alias("level_"),
+        F.col("pr").alias("pr_"),
+        F.col("status").alias("status_"),
+    )
     rows_ = leaves.join(again, (F.col("status") == "bad") & (F.col("node") == F.col("source_")), "left")
-    return space.save(rows_.select("root", *PATTERNS, "n", "first", *(F.coalesce(f"{c}_", c).alias(c) for c in ("node", "level", "pr", "status"))), "recycled")
+    return space.save(
+        rows_.select("root", *PATTERNS, "n", "first", *(F.coalesce(f"{c}_", c).alias(c) for c in ("node", "level", "pr", "status"))),
+        "recycled",
+    )
 
 
 def on_records(rows: DataFrame, leaves: DataFrame, root: Column | None = None) -> DataFrame:

@@ -41,7 +41,11 @@ def patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 def exploded(rows: DataFrame, column: str, *keys: str) -> DataFrame:
-    return rows.select(*keys, F.posexplode(column).alias("pos", "v")).select(*keys, F.col("pos").cast("bigint").alias("pos"), rounded("v").alias("value"))
+    return rows.select(*keys, F.posexplode(column).alias("pos", "v")).select(
+        *keys,
+        F.col("pos").cast("bigint").alias("pos"),
+        rounded("v").alias("value"),
+    )
 
 
 def rounded(column) -> F.Column:
@@ -58,7 +62,11 @@ def flagship_pattern_groups(spark, sf_dir):
     """Groups of one level-3 pattern with P rows or more, and the value loss of their envelopes."""
     rows, n = patterns(spark, sf_dir)
     groups = penalty.envelopes(rows, n, "s3").where(F.col("n") >= P)
-    return groups.select(F.col("s3").alias("pattern"), "n", F.round(penalty.value_loss(F.col("n"), F.col("lo"), F.col("hi")), 6).alias("loss"))
+    return groups.select(
+        F.col("s3").alias("pattern"),
+        "n",
+        F.round(penalty.value_loss(F.col("n"), F.col("lo"), F.col("hi")), 6).alias("loss"),
+    )
 
 
 @query(f"WITH {sql.fixture('part_quarter')[0]} {sql.exploded('f', 'series', N1)}")
@@ -93,7 +101,12 @@ def znorm(spark, sf_dir):
 def paa(spark, sf_dir):
     """Piecewise means of 28 values (fractional segments) and of 30."""
     out = [
-        exploded(t.rows.select("id", F.lit(name).alias("fixture"), symbolic.paa(symbolic.znorm(F.col("series")), t.length, W).alias("m")), "m", "fixture", "id")
+        exploded(
+            t.rows.select("id", F.lit(name).alias("fixture"), symbolic.paa(symbolic.znorm(F.col("series")), t.length, W).alias("m")),
+            "m",
+            "fixture",
+            "id",
+        )
         for name, t in (("part_quarter", series.part_quarter(spark, sf_dir)), ("user_day", series.user_day(spark, sf_dir)))
     ]
     return out[0].unionByName(out[1])
@@ -129,12 +142,19 @@ def reconstruct_fv(spark, sf_dir):
 
 @query(f"WITH {F1}, v AS (SELECT id, means, {sql.medians_of('s4')} AS fv FROM r) SELECT id, round({sql.cosine('means', 'fv')}, 6) + 0.0 AS distance FROM v")
 def cosine_distance(spark, sf_dir):
-    return patterns(spark, sf_dir)[0].select("id", rounded(symbolic.cosine_distance(F.col("means"), symbolic.reconstruct(F.col("s4")))).alias("distance"))
+    return patterns(spark, sf_dir)[0].select(
+        "id",
+        rounded(symbolic.cosine_distance(F.col("means"), symbolic.reconstruct(F.col("s4")))).alias("distance"),
+    )
 
 
 @query(f"WITH {F1}, v AS (SELECT id, s3, means, {sql.medians_of('s3')} AS fv FROM r) SELECT id, s3 AS pattern, round({sql.cosine('means', 'fv')}, 6) + 0.0 AS loss FROM v")
 def pattern_loss_rows(spark, sf_dir):
-    return patterns(spark, sf_dir)[0].select("id", F.col("s3").alias("pattern"), rounded(symbolic.pattern_loss(F.col("means"), F.col("s3"))).alias("loss"))
+    return patterns(spark, sf_dir)[0].select(
+        "id",
+        F.col("s3").alias("pattern"),
+        rounded(symbolic.pattern_loss(F.col("means"), F.col("s3"))).alias("loss"),
+    )
 
 
 @query(f"WITH {F1}, d AS (SELECT DISTINCT s3 AS p FROM r) SELECT a.p AS p, b.p AS q, CAST({sql.hamming('a.p', 'b.p')} AS BIGINT) AS distance FROM d a JOIN d b ON a.p < b.p")
@@ -148,7 +168,11 @@ def pattern_hamming(spark, sf_dir):
 @query(f"WITH {F1}, g AS ({GROUPS}) SELECT gid, n, CAST(pos AS BIGINT) AS pos, lo, hi FROM (SELECT gid, n, unnest(range(0, {N1})) AS pos, unnest(lo) AS lo, unnest(hi) AS hi FROM g)")
 def group_envelope(spark, sf_dir):
     rows, n = patterns(spark, sf_dir)
-    groups = penalty.envelopes(rows, n, "s2").select(F.col("s2").alias("gid"), "n", F.posexplode(F.arrays_zip("lo", "hi")).alias("pos", "z"))
+    groups = penalty.envelopes(rows, n, "s2").select(
+        F.col("s2").alias("gid"),
+        "n",
+        F.posexplode(F.arrays_zip("lo", "hi")).alias("pos", "z"),
+    )
     return groups.select("gid", "n", F.col("pos").cast("bigint").alias("pos"), "z.lo", "z.hi")
 
 
@@ -161,7 +185,11 @@ def group_ncp(spark, sf_dir):
     table = series.part_quarter(spark, sf_dir)
     rows = pattern_tree.with_patterns(table, W)
     groups = penalty.envelopes(rows, table.length, "s2").crossJoin(F.broadcast(series.bounds(table)))
-    return groups.select(F.col("s2").alias("gid"), "n", F.round(penalty.certainty_penalty(*map(F.col, ("n", "lo", "hi", "dom_min", "dom_max"))), 6).alias("loss"))
+    return groups.select(
+        F.col("s2").alias("gid"),
+        "n",
+        F.round(penalty.certainty_penalty(*map(F.col, ("n", "lo", "hi", "dom_min", "dom_max"))), 6).alias("loss"),
+    )
 
 
 @query(f"WITH {F1}, g AS ({GROUPS}) SELECT gid, n, round({sql.value_loss('n', 'lo', 'hi')}, 6) AS loss FROM g")
@@ -297,7 +325,11 @@ def parse_envelope(spark, sf_dir):
     """Published texts parsed again."""
     table, _, n = grouped(spark, sf_dir)
     text = publish.as_text(table, n).select("id", F.posexplode(F.array(*(f"q{k}" for k in range(n)))).alias("pos", "t"))
-    return text.select("id", F.col("pos").cast("bigint").alias("pos"), penalty.parse_envelope(F.col("t")).alias("z")).select("id", "pos", "z.lo", "z.hi")
+    return text.select(
+        "id",
+        F.col("pos").cast("bigint").alias("pos"),
+        penalty.parse_envelope(F.col("t")).alias("z"),
+    ).select("id", "pos", "z.lo", "z.hi")
 
 
 @query(f"WITH {F1}, g AS ({GROUPS}) SELECT round(sum(loss), 6) AS tot_value_loss, round(sum(loss) / sum(n), 6) AS avg_value_loss FROM (SELECT n, {sql.value_loss('n', 'lo', 'hi')} AS loss FROM g)")
@@ -386,7 +418,15 @@ def clustered(spark, sf_dir, repaired: bool) -> DataFrame:
     table = series.part_quarter(spark, sf_dir)
     dom = series.bounds(table).first()
     metric = bisect.Metric("ncp", tuple(float(b - a) for a, b in zip(dom["dom_min"], dom["dom_max"], strict=True)))
-    return bisect.clusters(table.rows.select(F.lit("r").alias("root"), "id", "series"), K, metric, 0, Workspace(spark, "clusters"), "c", repaired).select("id", "cluster")
+    return bisect.clusters(
+        table.rows.select(F.lit("r").alias("root"), "id", "series"),
+        K,
+        metric,
+        0,
+        Workspace(spark, "clusters"),
+        "c",
+        repaired,
+    ).select("id", "cluster")
 
 
 @query()
@@ -425,19 +465,45 @@ def anonymized(spark, sf_dir, strategy: str) -> DataFrame:
 
 @query()
 def anonymize_value_first(spark, sf_dir):
-    return anonymized(spark, sf_dir, "value_first").select("id", "group_id", "pr", "sensitive_out", "perturb_round", "lo", "hi", "suppressed")
+    return anonymized(spark, sf_dir, "value_first").select(
+        "id",
+        "group_id",
+        "pr",
+        "sensitive_out",
+        "perturb_round",
+        "lo",
+        "hi",
+        "suppressed",
+    )
 
 
 @query()
 def anonymize_pattern_first(spark, sf_dir):
-    return anonymized(spark, sf_dir, "pattern_first").select("id", "group_id", "pr", "sensitive_out", "perturb_round", "lo", "hi", "suppressed")
+    return anonymized(spark, sf_dir, "pattern_first").select(
+        "id",
+        "group_id",
+        "pr",
+        "sensitive_out",
+        "perturb_round",
+        "lo",
+        "hi",
+        "suppressed",
+    )
 
 
 @query()
 def anonymity_audit(spark, sf_dir):
     """How often either pipeline's output breaks a promise: always 0."""
     table = series.part_quarter(spark, sf_dir)
-    found = [publish.audit(anonymized(spark, sf_dir, s), table.rows, PARAMS.k, PARAMS.p, PARAMS.l).withColumn("strategy", F.lit(s)) for s in pipelines.STRATEGIES]
+    found = [
+        publish.audit(
+            anonymized(spark, sf_dir, s),
+            table.rows,
+            PARAMS.k,
+            PARAMS.p,
+            PARAMS.l,
+        ).withColumn("strategy", F.lit(s)) for s in pipelines.STRATEGIES
+    ]
     return found[0].unionByName(found[1])
 
 

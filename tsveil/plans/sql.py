@@ -116,12 +116,20 @@ def pattern_at(level: str) -> str:
 def tree(p: int, source: str = "r", root: str = "'r'") -> str:
     """CTEs up to leaves(root, s1..s6, id, node, level, pr, status)."""
     keep = f"root, {PATTERN_COLUMNS}, id"
-    out = [f"o1 AS (SELECT CAST({root} AS VARCHAR) AS root, {PATTERN_COLUMNS}, id, CAST({root} AS VARCHAR) AS node, 1 AS level, s1 AS pr FROM {source})"]
+    out = [
+        f"o1 AS (SELECT CAST({root} AS VARCHAR) AS root, {PATTERN_COLUMNS}, id, CAST({root} AS VARCHAR) AS node, 1 AS level, s1 AS pr FROM {source})"
+    ]
     for level in range(1, 5):
         child = f"s{level + 1}"
-        same = ", ".join(f"min(s{a}) OVER (PARTITION BY node) = max(s{a}) OVER (PARTITION BY node) AS same{a}" for a in range(2, MAX_ALPHABET + 1))
-        out.append(f"w{level} AS (SELECT *, count(*) OVER (PARTITION BY node) AS nn, count(*) OVER (PARTITION BY node, {child}) AS c, {same} FROM o{level})")
-        out.append(f"x{level} AS (SELECT *, max(c) OVER (PARTITION BY node) AS mx, sum(CAST(c < {p} AS INTEGER)) OVER (PARTITION BY node) AS tb, {run_of(level)} AS run FROM w{level})")
+        same = ", ".join(
+            f"min(s{a}) OVER (PARTITION BY node) = max(s{a}) OVER (PARTITION BY node) AS same{a}" for a in range(2, MAX_ALPHABET + 1)
+        )
+        out.append(
+            f"w{level} AS (SELECT *, count(*) OVER (PARTITION BY node) AS nn, count(*) OVER (PARTITION BY node, {child}) AS c, {same} FROM o{level})"
+        )
+        out.append(
+            f"x{level} AS (SELECT *, max(c) OVER (PARTITION BY node) AS mx, sum(CAST(c < {p} AS INTEGER)) OVER (PARTITION BY node) AS tb, {run_of(level)} AS run FROM w{level})"
+        )
         out.append(f"""y{level} AS (SELECT {keep},
   CASE WHEN nn < {2 * p} OR mx < {p} THEN node WHEN c < {p} AND tb >= {p} THEN node || '/tb' ELSE node || '/' || {child} END AS node,
   CASE WHEN nn < {p} THEN {level} WHEN nn < {2 * p} THEN run WHEN mx < {p} OR (c < {p} AND tb >= {p}) THEN {level} ELSE {level + 1} END AS level,
@@ -147,18 +155,31 @@ def recycled(p: int) -> str:
     """CTEs up to placed(id, level, pr, status) after recycling bad leaves, from leaves."""
     firsts = ", ".join(f"f{a}" for a in LEVELS)
     first_of = ", ".join(f"arg_min(s{a}, id) AS f{a}" for a in LEVELS)
-    out = [f"left5 AS (SELECT node AS source, node, level, pr, count(*) AS n, min(id) AS first, {first_of} FROM leaves WHERE status = 'bad' GROUP BY node, level, pr)"]
+    out = [
+        f"left5 AS (SELECT node AS source, node, level, pr, count(*) AS n, min(id) AS first, {first_of} FROM leaves WHERE status = 'bad' GROUP BY node, level, pr)"
+    ]
     for level in range(5, 0, -1):
         up = max(1, level - 1)
         again = ", ".join(f"arg_min(f{a}, first) AS f{a}" for a in LEVELS)
         out.append(f"t{level} AS (SELECT coalesce(sum(n), 0) AS t FROM (SELECT DISTINCT node, pr, n FROM left{level}))")
-        out.append(f"m{level} AS (SELECT pr AS mpr, sum(n) AS total, min(first) AS mfirst, {again} FROM (SELECT DISTINCT node, pr, n, first, {firsts} FROM left{level} WHERE level = {level}) GROUP BY pr)")
-        out.append(f"g{level} AS (SELECT l.source, {level} AS level, l.pr FROM left{level} l JOIN m{level} ON mpr = l.pr, t{level} WHERE l.level = {level} AND t >= {p} AND total >= {p})")
+        out.append(
+            f"m{level} AS (SELECT pr AS mpr, sum(n) AS total, min(first) AS mfirst, {again} FROM (SELECT DISTINCT node, pr, n, first, {firsts} FROM left{level} WHERE level = {level}) GROUP BY pr)"
+        )
+        out.append(
+            f"g{level} AS (SELECT l.source, {level} AS level, l.pr FROM left{level} l JOIN m{level} ON mpr = l.pr, t{level} WHERE l.level = {level} AND t >= {p} AND total >= {p})"
+        )
         out.append(
             f"left{level - 1} AS (SELECT source, node, level, pr, n, first, {firsts} FROM left{level}, t{level} WHERE level <> {level} OR t < {p} "
             f"UNION ALL SELECT l.source, 'up{level}/' || l.pr, {up}, m.f{up}, m.total, m.mfirst, {', '.join(f'm.f{a}' for a in LEVELS)} FROM left{level} l JOIN m{level} m ON mpr = l.pr, t{level} WHERE l.level = {level} AND t >= {p} AND total < {p})"
         )
-    ends = " UNION ALL ".join([*(f"SELECT source, level, pr, 'good' AS status FROM g{level}" for level in range(5, 0, -1)), "SELECT source, level, pr, 'suppressed' AS status FROM left0"])
+    ends = " UNION ALL ".join(
+        [
+            *(f"SELECT source, level, pr, 'good' AS status FROM g{level}" for level in range(5, 0, -1)),
+            "SELECT source, level, pr, 'suppressed' AS status FROM left0",
+        ]
+    )
     out.append(f"ends AS ({ends})")
-    out.append("placed AS (SELECT l.id, coalesce(e.level, l.level) AS level, coalesce(e.pr, l.pr) AS pr, coalesce(e.status, l.status) AS status FROM leaves l LEFT JOIN ends e ON l.status = 'bad' AND e.source = l.node)")
+    out.append(
+        "placed AS (SELECT l.id, coalesce(e.level, l.level) AS level, coalesce(e.pr, l.pr) AS pr, coalesce(e.status, l.status) AS status FROM leaves l LEFT JOIN ends e ON l.status = 'bad' AND e.source = l.node)"
+    )
     return ", ".join(out)

@@ -32,7 +32,14 @@ def part_quarter(spark: SparkSession, sf_dir: str) -> SeriesTable:
     sold = items.select("l_partkey", "l_quantity", quarter.alias("q")).groupBy("l_partkey").agg(*sums)
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     series = F.array(*(F.coalesce(f"q{k}", F.lit(0.0)) for k in range(QUARTERS)))
-    return SeriesTable(parts.join(sold, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("sensitive"), series.alias("series")), QUARTERS)
+    return SeriesTable(
+        parts.join(sold, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+            F.col("p_partkey").alias("id"),
+            F.col("p_size").cast("bigint").alias("sensitive"),
+            series.alias("series"),
+        ),
+        QUARTERS,
+    )
 
 
 def user_day(spark: SparkSession, sf_dir: str) -> SeriesTable:
@@ -44,13 +51,24 @@ def day_counts(events: DataFrame) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.lit(FIRST_DAY).cast("date"))
     counts = [F.count(F.when(F.col("d") == k, 1)).cast("double") for k in range(DAYS)]
     rows = events.select("user_id", "event_type", day.alias("d"))
-    return rows.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("sensitive"), F.array(*counts).alias("series")).select(F.col("user_id").alias("id"), "sensitive", "series")
+    return (
+        rows.groupBy("user_id")
+        .agg(F.count_if(F.col("event_type") == "error").alias("sensitive"), F.array(*counts).alias("series"))
+        .select(F.col("user_id").alias("id"), "sensitive", "series")
+    )
 
 
 def embedding(spark: SparkSession, sf_dir: str) -> SeriesTable:
     """Embedding vectors; sensitive: their label."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return SeriesTable(rows.select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("sensitive"), F.col("embedding").cast("array<double>").alias("series")), DIMENSIONS)
+    return SeriesTable(
+        rows.select(
+            F.col("vec_id").alias("id"),
+            F.col("label").cast("bigint").alias("sensitive"),
+            F.col("embedding").cast("array<double>").alias("series"),
+        ),
+        DIMENSIONS,
+    )
 
 
 def read_wide_csv(spark: SparkSession, path: str, infer: bool = False) -> tuple[SeriesTable, list[str]]:
@@ -64,12 +82,20 @@ def read_wide_csv(spark: SparkSession, path: str, infer: bool = False) -> tuple[
         raise ValueError(f"{path}: an id, at least one value and a sensitive column are needed")
     key, *names, sensitive = head.columns
     if not infer:
-        fields = [T.StructField(key, T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names), T.StructField(sensitive, T.LongType())]
+        fields = [
+            T.StructField(key, T.LongType()),
+            *(T.StructField(n, T.DoubleType()) for n in names),
+            T.StructField(sensitive, T.LongType()),
+        ]
         head = spark.read.schema(T.StructType(fields)).csv(path, header=True)
     twice = head.groupBy(key).count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"{path}: the id {twice[0][0]} occurs {twice[0][1]} times")
-    rows = head.select(F.col(f"`{key}`").alias("id"), F.col(f"`{sensitive}`").cast("bigint").alias("sensitive"), F.array(*(F.col(f"`{n}`").cast("double") for n in names)).alias("series"))
+    rows = head.select(
+        F.col(f"`{key}`").alias("id"),
+        F.col(f"`{sensitive}`").cast("bigint").alias("sensitive"),
+        F.array(*(F.col(f"`{n}`").cast("double") for n in names)).alias("series"),
+    )
     return SeriesTable(rows, len(names)), names
 
 
@@ -84,7 +110,11 @@ def from_long(rows: DataFrame, length: int, id_col: str = "id", position_col: st
 def write_wide_csv(table: SeriesTable, path: str, names: list[str] | None = None) -> None:
     """The table as a CSV with a header, a folder of part files."""
     names = names or [f"q{k}" for k in range(table.length)]
-    table.rows.select("id", *(F.get("series", F.lit(k)).alias(n) for k, n in enumerate(names)), "sensitive").write.mode("overwrite").csv(path, header=True)
+    (
+        table.rows.select("id", *(F.get("series", F.lit(k)).alias(n) for k, n in enumerate(names)), "sensitive").write
+        .mode("overwrite")
+        .csv(path, header=True)
+    )
 
 
 def bounds(table: SeriesTable) -> DataFrame:

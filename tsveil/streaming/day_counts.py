@@ -10,7 +10,12 @@ from tsveil.sources.series import DAYS, FIRST_DAY, SeriesTable
 
 def daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """(user_id, day, n, errors) of a stream of events (ts, user_id, event_type); a day is final once the watermark passes it."""
-    found = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(F.window("ts", "1 day"), "user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    found = (
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", lateness)
+        .groupBy(F.window("ts", "1 day"), "user_id")
+        .agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    )
     return found.select("user_id", F.to_date("window.start").alias("day"), "n", "errors")
 
 
