@@ -414,6 +414,15 @@ def ldiv_enforce(spark, sf_dir):
     return diversity.enforce(subgroups(spark, sf_dir), L)
 
 
+@query(f"WITH {CLASSES} SELECT group_id, pr, sensitive, ec - ps // {L} AS changed FROM c WHERE ec * {L} > ps")
+def ldiv_changed(spark, sf_dir):
+    """How many rows of each sensitive value got another one: as many as are over its share."""
+    rows = subgroups(spark, sf_dir)
+    out = diversity.enforce(rows, L).withColumnRenamed("id", "id_")
+    changed = rows.join(out, F.col("id") == F.col("id_")).where(F.col("sensitive") != F.col("sensitive_out"))
+    return changed.groupBy("group_id", "pr", "sensitive").agg(F.count("*").alias("changed"))
+
+
 def clustered(spark, sf_dir, repaired: bool) -> DataFrame:
     table = series.part_quarter(spark, sf_dir)
     dom = series.bounds(table).first()
@@ -456,6 +465,27 @@ def bottomup_groups(spark, sf_dir):
     return agglomerate(space.save(good.select("id", "node", "pr", "series"), "good"), n, P, K, 0, space)
 
 
+def audited(stage: str, found: DataFrame, group: str, wrong) -> DataFrame:
+    """(stage, rows, ids, wrong): rows and distinct ids of a grouping, and groups whose size is wrong."""
+    sizes = found.groupBy(group).agg(F.count("*").alias("n"))
+    ids = found.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))
+    return ids.crossJoin(sizes.agg(F.count_if(wrong(F.col("n"))).alias("wrong"))).select(F.lit(stage).alias("stage"), "rows", "ids", "wrong")
+
+
+GOOD_ROWS = f"SELECT count(*) FROM (WITH {F1}, {sql.tree(P)}, {sql.recycled(P)} SELECT id FROM placed WHERE status = 'good')"
+
+
+@query(
+    f"""SELECT stage, n AS rows, n AS ids, CAST(0 AS BIGINT) AS wrong FROM (
+  SELECT unnest(['bisected', 'repaired']) AS stage, (SELECT count(*) FROM part) AS n UNION ALL SELECT 'joined', ({GOOD_ROWS}))"""
+)
+def grouping_audit(spark, sf_dir):
+    """Every row is in one group: bisected ones have under 2 * K rows, repaired and joined ones K at least."""
+    out = audited("bisected", clustered(spark, sf_dir, False), "cluster", lambda n: n >= 2 * K)
+    out = out.unionByName(audited("repaired", clustered(spark, sf_dir, True), "cluster", lambda n: n < K))
+    return out.unionByName(audited("joined", bottomup_groups(spark, sf_dir), "group_id", lambda n: n < K))
+
+
 PARAMS = pipelines.Params(K, P, W, 2)
 
 
@@ -491,7 +521,10 @@ def anonymize_pattern_first(spark, sf_dir):
     )
 
 
-@query()
+VIOLATIONS = ("small_group", "small_subgroup", "undiverse", "outside", "lost", "doubled")
+
+
+@query("SELECT violation, CAST(0 AS BIGINT) AS rows, strategy FROM (VALUES " + ", ".join(f"('{v}', '{s}')" for v in VIOLATIONS for s in pipelines.STRATEGIES) + ") t(violation, strategy)")
 def anonymity_audit(spark, sf_dir):
     """How often either pipeline's output breaks a promise: always 0."""
     table = series.part_quarter(spark, sf_dir)
