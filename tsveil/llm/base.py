@@ -19,7 +19,7 @@ __all__ = ["BROADCAST_ROWS", "Workspace", "small"]
 #: Rows and bytes of an Arrow batch that a Python stage sees at once, far below Spark's defaults; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 #: Rows up to which a side of a few numbers per row is broadcast; above, both sides are shuffled.
-BROADCAST_KEYS = 400_000
+BROADCAST_KEYS = 100_000
 #: Entries after which a worker's cache of words starts anew.
 CACHE_WORDS = 200_000
 
